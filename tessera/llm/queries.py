@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import pieces
+from tessera.llm import matroska, mixing, pieces, secrets, urls
 from tessera.llm.common import table
 
 
@@ -20,13 +21,77 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: (verdict, host, path) of the URL rules, and the hosts that are blocked where no rule fits.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+BLOCKED_HOSTS = ["spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org"]
+
+
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.store(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path(), full=False)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
+OP5 = f"""
+WITH parts AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+blocked(bad_host) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}),
+ranked AS (SELECT split.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM split LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE host = bad_host OR ends_with(host, '.' || bad_host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ranked WHERE k = 1
+"""
+
+
+def _time(knots: tuple) -> str:
+    """SQL for a schedule's inverted integral at `part`."""
+    sums, out = mixing.integral(knots), "CAST(1.0 AS DOUBLE)"
+    for (t0, w0), (t1, w1), before, after in reversed(list(zip(knots, knots[1:], sums, sums[1:], strict=False))):
+        d = lambda x: f"CAST({x!r} AS DOUBLE)"
+        rest = f"(part * {d(sums[-1])} - {d(before)})"
+        out = f"CASE WHEN part * {d(sums[-1])} <= {d(after)} THEN {d(t0)} + {d(2.0)} * {rest} / ({d(w0)} + sqrt({d(w0 * w0)} + {d(2 * (w1 - w0) / (t1 - t0))} * {rest})) ELSE {out} END"
+    return out
+
+
+OP6 = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST([3, 1, 2][nth % 3 + 1] AS BIGINT) AS weight FROM sources),
+filled AS (SELECT *, row_number() OVER w AS j, sum(source_size) OVER () AS total,
+    coalesce(sum(source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_size, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
+  FROM weighed WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, nth)),
+level AS (SELECT CAST(3 * total - 4 * full_size AS BIGINT) AS num, CAST(2 * rest_weight AS BIGINT) AS den, j AS first_free FROM filled
+  WHERE (3 * total - 4 * full_size) * weight <= 4 * rest_weight * source_size ORDER BY j LIMIT 1),
+wanted AS (SELECT source, nth, source_size, CASE WHEN j < first_free THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(num * weight AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM filled, level),
+started AS (SELECT doc_id, size, source_size, target, nth, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized JOIN wanted ON sized.source IS NOT DISTINCT FROM wanted.source),
+passed AS (SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - start)) AS one, greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - source_size)) AS two FROM started),
+shares AS (SELECT *, (CAST(start AS DOUBLE) + CAST(one AS DOUBLE) / 2) / target AS part FROM passed)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one > 0 THEN CASE nth % 3 WHEN 0 THEN {_time(mixing.SCHEDULES[0])} WHEN 1 THEN {_time(mixing.SCHEDULES[1])} ELSE {_time(mixing.SCHEDULES[2])} END END AS position
+FROM shares
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5, "op6_mixing": OP6}
