@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import matroska, mixing, pieces, secrets, urls
-from tessera.llm.common import table
+from tessera.llm import language, matroska, mixing, pieces, secrets, toxicity, urls
+from tessera.llm.common import crc_mod, table
 
 
 def model_path() -> str:
@@ -47,6 +47,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.classify(docs.withColumn("held_out", crc_mod("doc_id", 5) == 0), model, ["doc_id", "held_out"])
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.train(docs, "text", "lang", crc_mod("doc_id", 4) != 2)
+    return language.identify(docs, prototypes, extra={"held_out": crc_mod("doc_id", 4) == 2})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 

@@ -26,7 +26,6 @@ from tessera.llm.common import written
 
 #: Share of mistakes a level is sized for, and the bits of a cascade up to which it is broadcast (64 MiB).
 MISTAKES, BROADCAST_BITS = 2.0**-8, 1 << 29
-_SALT = 0x1B873593CC9E2D51
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,31 +38,34 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads each bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @dataclass
 class Level:
-    words: np.ndarray
+    number: int
     bits: int
     hashed: int
-    salt: int
+    words: np.ndarray | None = None
 
     @staticmethod
-    def shape(keys: int, number: int) -> tuple[int, int, int]:
+    def sized(keys: int, number: int) -> Level:
         hashed = max(1, round(-math.log2(MISTAKES)))
-        bits = max(64, -(-int(keys * hashed / math.log(2) + 1) // 64) * 64)
-        return bits, hashed, (_SALT * (number + 1)) % (1 << 62)
-
-    def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        a, b = np.mod(h1 ^ self.salt, self.bits), np.mod(h2 ^ self.salt, self.bits)
-        out = np.ones(len(h1), bool)
-        for i in range(self.hashed):
-            at = (a + i * b + i * i) % self.bits
-            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return out
+        return Level(number, max(512, -(-int(keys * hashed / math.log(2) + 1) // 64) * 64), hashed)
 
+    def positions(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The bits of each key, a column for each hash; other ones at each level."""
+        salt = np.array([self.number + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        a, b = mixed(h1.view(np.uint64) ^ salt), mixed(h2.view(np.uint64) ^ salt) | np.uint64(1)
+        return (a[:, None] + np.arange(self.hashed, dtype=np.uint64) * b[:, None]) % np.uint64(self.bits)
 
-def positions(bits: int, hashed: int, salt: int) -> Column:
-    a, b = F.pmod(F.col("h1").bitwiseXOR(F.lit(salt)), F.lit(bits)), F.pmod(F.col("h2").bitwiseXOR(F.lit(salt)), F.lit(bits))
-    return F.array(*[(a + F.lit(i) * b + F.lit(i * i)) % F.lit(bits) for i in range(hashed)])
+    def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        at = self.positions(h1, h2)
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1).all(axis=1)
 
 
 @dataclass
@@ -85,14 +87,23 @@ class Cascade:
 
 
 def made_level(keys: DataFrame, n: int, number: int) -> Level:
-    bits, hashed, salt = Level.shape(n, number)
-    if bits > BROADCAST_BITS:
-        raise TooManyKeys(f"{n} keys need {bits} bits")
-    at = F.explode(positions(bits, hashed, salt)).alias("at")
-    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
-    filled = np.zeros(bits // 64, np.uint64)
-    filled[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
-    return Level(filled, bits, hashed, salt)
+    """The filter of n keys (h1, h2); its words are or-ed where they are made, then between tasks."""
+    level = Level.sized(n, number)
+    if level.bits > BROADCAST_BITS:
+        raise TooManyKeys(f"{n} keys need {level.bits} bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(level.positions(*(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(word):
+                filled = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(filled.view(np.int64))], ["word", "filled"])
+
+    found = keys.mapInArrow(run, "word long, filled long").groupBy("word").agg(F.bit_or("filled").alias("filled")).toArrow()
+    words = np.zeros(level.bits // 64, np.uint64)
+    words[found["word"].to_numpy()] = found["filled"].to_numpy().view(np.uint64)
+    return Level(level.number, level.bits, level.hashed, words)
 
 
 def held_by(keys: DataFrame, level: Level) -> DataFrame:
@@ -101,7 +112,7 @@ def held_by(keys: DataFrame, level: Level) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = shared.value.holds(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            held = shared.value.holds(*(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns))
             yield batch.filter(pa.array(held))
 
     return keys.mapInArrow(run, "h1 long, h2 long")
