@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, matroska, mixing, pieces, secrets, toxicity, urls
+from tessera.llm import language, matroska, mixing, pieces, quality, secrets, toxicity, urls
 from tessera.llm.common import crc_mod, table
 
 
@@ -34,6 +34,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path(), full=False)
 
@@ -105,5 +109,39 @@ FROM shares
 """
 
 
+def _bucket(v: str) -> str:
+    off = f"greatest(0, length(bin({v})) - 5)"
+    return f"((({v}) >> {off}) << {off})"
+
+
+_WHITE = "[\\x20\\x09-\\x0D]"
+_VALUES = [e.replace(" div ", " // ") for _, e, _, _ in quality.MEASURES]
+OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY n),
+starts AS (SELECT n, w, unnest(range(1, len(w) - 6)) AS i FROM d),
+windows AS (SELECT n, i, count(*) OVER (PARTITION BY n, array_to_string(w[i:i + 7], ' ')) AS c FROM starts),
+covered AS (SELECT n, count(DISTINCT i + j) AS n_repeat_words FROM windows, range(8) AS r(j) WHERE c > 1 GROUP BY n),
+c AS (SELECT d.n, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_WHITE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN dups USING (n) LEFT JOIN covered USING (n)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM c),
+m AS (SELECT lang, source, measure, v FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS measure, unnest([{", ".join(_VALUES)}]) AS v FROM b WHERE NOT base_failed)),
+k AS (SELECT lang, source, measure, {_bucket("v")} AS low, count(*) AS n FROM m GROUP BY ALL),
+leveled AS (SELECT 0 AS level, lang AS a, source AS s, measure, low, n FROM k UNION ALL SELECT 1, lang, NULL, measure, low, n FROM k UNION ALL SELECT 2, NULL, NULL, measure, low, n FROM k),
+summed AS (SELECT level, a, s, measure, low, sum(n) AS n FROM leveled GROUP BY ALL),
+cumulated AS (SELECT *, sum(n) OVER (PARTITION BY level, a, s, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, a, s, measure) AS total FROM summed),
+quartiles AS (SELECT level, a, s, measure, max(total) AS total, min(low) FILTER (upto * 4 >= total) AS q1, min(low) FILTER (upto * 4 >= total * 3) AS q3 FROM cumulated GROUP BY ALL),
+fences AS (SELECT *, 3 * greatest(q3 - q1, [{", ".join(str(f) for _, _, f, _ in quality.MEASURES)}][measure + 1]) AS off FROM quartiles),
+judged AS (SELECT b.n, b.measure, b.v, f.q1 - f.off AS lo, f.q3 + f.off AS hi, row_number() OVER (PARTITION BY b.n, b.measure ORDER BY f.level) AS best
+  FROM (SELECT n, lang, source, unnest([0, 1, 2, 3]) AS measure, unnest([{", ".join(_VALUES)}]) AS v FROM b WHERE NOT base_failed) b
+  JOIN fences f ON f.measure = b.measure AND (f.level = 2 OR f.total >= {quality.LEAST}) AND (f.level = 2 OR f.a IS NOT DISTINCT FROM b.lang) AND (f.level > 0 OR f.s IS NOT DISTINCT FROM b.source)),
+passed AS (SELECT n, bool_and(v <= hi AND (measure > 0 OR v >= lo)) AS passes FROM judged WHERE best = 1 GROUP BY n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(passes, true)) AS kept FROM b LEFT JOIN passed USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5, "op6_mixing": OP6}
+    return {"op3_quality": OP3, "op5_url_filter": OP5, "op6_mixing": OP6}
