@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, matroska, mixing, pieces, quality, secrets, toxicity, urls
+from tessera.llm import jaccard, language, matroska, mixing, pieces, quality, secrets, toxicity, urls
 from tessera.llm.common import crc_mod, table
 
 
@@ -57,6 +57,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.withColumn("held_out", crc_mod("doc_id", 5) == 0), model, ["doc_id", "held_out"])
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language.train(docs, "text", "lang", crc_mod("doc_id", 4) != 2)
@@ -109,6 +113,20 @@ FROM shares
 """
 
 
+OP9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+sets AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, any_value(s) AS s, len(any_value(s)) AS n FROM s GROUP BY 1),
+each AS (SELECT k, n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.k AS a, b.k AS b FROM each a JOIN each b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs UNION ALL SELECT k, k FROM sets),
+reach AS (WITH RECURSIVE t(a, b) AS (SELECT a, b FROM edges UNION SELECT t.a, edges.b FROM t JOIN edges ON t.b = edges.a) SELECT * FROM t),
+docs AS (SELECT r, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k FROM s),
+least AS (SELECT reach.a AS k, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.k = reach.b WHERE docs.n > 0 GROUP BY reach.a)
+SELECT doc_id, CAST(docs.n AS BIGINT) AS n_shingles, CASE WHEN docs.n = 0 THEN doc_id ELSE component_id END AS component_id FROM docs LEFT JOIN least USING (k)
+"""
+
+
 def _bucket(v: str) -> str:
     off = f"greatest(0, length(bin({v})) - 5)"
     return f"((({v}) >> {off}) << {off})"
@@ -144,4 +162,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3, "op5_url_filter": OP5, "op6_mixing": OP6}
+    return {"op3_quality": OP3, "op5_url_filter": OP5, "op6_mixing": OP6, "op9_jaccard": OP9}
