@@ -29,6 +29,8 @@ from tessera.llm.common import WORD, written
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)))
 #: Documents of a bucket, about.
 BUCKET = 512
+#: Sources up to which the places where passes end are broadcast.
+FEW_SOURCES = 100_000
 
 
 def integral(knots: tuple) -> list[float]:
@@ -72,16 +74,27 @@ def targets(sources: DataFrame, share: Fraction, weights: tuple[int, ...], repea
     return ranked.withColumn("target", F.when(capped, bound).otherwise(even))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = (3, 1, 2), repeats: int = 2, schedules: tuple = SCHEDULES) -> DataFrame:
-    """Each row's (id, source, size, source_size, target, taken, positions), in no order.
+def text_order(id_col: str, text_col: str | None = None) -> Column:
+    """A document's place in its source: md5 of the id as text, with the text's hash where ids may repeat."""
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+    if text_col:
+        parts += [F.lit(":"), F.xxhash64(F.col(text_col)).cast("string")]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
+def source_key(source_col: str) -> Column:
+    return F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, order: Column | None = None, share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = (3, 1, 2), repeats: int = 2, schedules: tuple = SCHEDULES) -> DataFrame:
+    """Each row's (id, source, size, source_size, target, taken, positions, key, place, words), in no order.
 
     taken: words the mix takes of the document, over all passes; the last document a source gives is taken in part, so
     that a source's words are its target's whole part.  positions: the training position of each pass that takes words.
     """
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    sizes = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), size.alias("size"), order.alias("place")), "sizes")
+    place = text_order(id_col) if order is None else order
+    sizes = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(source_col).alias("key"), size.alias("size"), place.alias("place")), "sizes")
     bits = min(28, max(0, math.ceil(math.log2(max(1, sizes.count()) / BUCKET))))
     sizes = sizes.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 7), 16, 10).cast("long"), 28 - bits))
     sums = sizes.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
@@ -106,7 +119,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     for words, _ in passes[1:]:
         taken = taken + words
     positions = F.filter(F.array(*[p for _, p in passes]), lambda x: x.isNotNull())
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"), "key", "place", F.array(*[w for w, _ in passes]).alias("words"))
+
+
+def repeated(df: DataFrame, order: Column, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """All columns of the rows, each as often as a pass takes words of it.
+
+    A pass takes a source's documents in order up to some place, so the mix comes back as one place for each source
+    and pass: texts stay where they are.
+    """
+    place = "__mixing_place"
+    placed = df.withColumn(place, order).withColumn("__mixing_key", source_key(source_col))
+    mixed = mix(placed, place, text_col, source_col, order=F.col(place), **options).withColumn("pass", F.explode(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))))
+    last = mixed.where("pass.w > 0").groupBy("key", "pass.i").agg(F.max("place").alias("last"))
+    lasts = written(last.groupBy("key").agg(F.collect_list("last").alias("__mixing_lasts")).withColumnRenamed("key", "__mixing_key"), "lasts")
+    few = lasts.count() <= FEW_SOURCES
+    joined = placed.join(F.broadcast(lasts) if few else lasts, "__mixing_key")
+    some = F.regexp_like(F.col(text_col), F.lit(WORD))
+    copies = F.filter("__mixing_lasts", lambda x: x >= F.col(place))
+    return joined.where(some).withColumn("__mixing_copy", F.explode(copies)).select(*df.columns)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -112,15 +113,14 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                n, a, b = [], [], []
-                for count, decimal, back in table.encode([t or "" for t in batch.column(1).to_pylist()]):
-                    n.append(count)
-                    if full:
-                        a.append(list(map(int, decimal.split(" "))))
-                        b.append(back)
-                    else:
-                        a.append(hashlib.sha256(decimal.encode()).hexdigest())
-                        b.append(hashlib.sha256(back.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int32()) if full else pa.string()), pa.array(b, pa.string())], [f.name for f in fields])
+                rows = list(table.encode([t or "" for t in batch.column(1).to_pylist()]))
+                n = [r[0] for r in rows]
+                if full:
+                    ids = np.array(" ".join([r[1] for r in rows]).split(" ") if rows else [], np.int32)
+                    a = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids))
+                    b = pa.array([r[2] for r in rows], pa.string())
+                else:
+                    a, b = (pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), a, b], [f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))

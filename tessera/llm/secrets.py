@@ -303,3 +303,23 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], schema.names)
 
     return kept.mapInArrow(run, schema)
+
+
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All rows and columns, secrets in the text replaced by `<kind>`; the length column, if there is one, follows the changed texts."""
+    at, length_at = df.columns.index(text_col), df.columns.index(length_col) if length_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                texts = batch.column(at).to_pylist()
+                clean = [t if t is None else redacted(t, scan(t)[1]) for t in texts]
+                columns = list(batch.columns)
+                columns[at] = pa.array(clean, columns[at].type)
+                if length_at is not None:
+                    sizes = columns[length_at].to_pylist()
+                    columns[length_at] = pa.array([n if c == t else len(c) for n, t, c in zip(sizes, texts, clean, strict=True)], columns[length_at].type)
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
