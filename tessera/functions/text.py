@@ -183,10 +183,10 @@ def version(title: Column) -> Column:
     return F.struct(*[has(w).alias(flag) for flag, w in VERSION_FLAGS.items()], F.when(name != "", name).alias("remix_name"))
 
 
-def compatibility(a: Column, b: Column) -> Column:
-    """Struct (ok, penalty, reason) of two versions, as version() gives them."""
+def compatibility(a: Column, b: Column, remix_like: Column) -> Column:
+    """Struct (ok, penalty, reason) of two versions, as version() gives them, and the similarity of their remix names."""
     clash = F.when(a["remix"] != b["remix"], F.struct(F.lit(0.40).alias("penalty"), F.lit("remix_original_mismatch").alias("reason")))
-    other = a["remix"] & b["remix"] & a["remix_name"].isNotNull() & b["remix_name"].isNotNull() & (flexible_similarity(F.coalesce(a["remix_name"], F.lit("")), F.coalesce(b["remix_name"], F.lit(""))) < 0.55)
+    other = a["remix"] & b["remix"] & F.coalesce(remix_like < 0.55, F.lit(False))
     clash = clash.when(other, F.struct(F.lit(0.40).alias("penalty"), F.lit("different_remix").alias("reason")))
     for flag in ("live", "acoustic", "instrumental", "vip", "bootleg", "mashup"):
         clash = clash.when(a[flag] != b[flag], F.struct(F.lit(0.35).alias("penalty"), F.lit(f"{flag}_mismatch").alias("reason")))

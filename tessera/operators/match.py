@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.plans.storage import written
 
 #: Least score, title score, artist score and margin by kind of result.
 LEAST = {"song": (0.78, 0.78, 0.55, 0.025), "video": (0.80, 0.83, 0.55, 0.03)}
@@ -24,18 +25,26 @@ def scored(pairs: DataFrame, source_type: str) -> DataFrame:
 
     The result's title counts as an artist too: uploads often carry the artist there alone.
     """
-    base = pairs.withColumn("__a", X.base_title(F.col("title"))).withColumn("__b", X.base_title(F.coalesce("result_title", F.lit(""))))
-    base = base.withColumn("title_score", X.flexible_similarity(F.col("__a"), F.col("__b"))).withColumn("version", X.compatibility(X.version(F.col("title")), X.version(F.coalesce("result_title", F.lit("")))))
-    base = base.withColumn("__row", F.monotonically_increasing_id())
+    # Each distinct title is taken apart once, and each distinct pair of normal forms compared once.
+    rows = written(pairs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__t", F.coalesce("result_title", F.lit(""))), "pairs")
+    titles = rows.select(F.col("title").alias("t")).union(rows.select("__t")).where("t is not null").distinct()
+    parts = written(titles.select("t", X.base_title(F.col("t")).alias("base"), X.version(F.col("t")).alias("v"), X.normalize(F.col("t")).alias("plain")), "titles")
+    one, two = (parts.select(F.col("t").alias(t), F.col("base").alias(f"__{k}"), F.col("v").alias(f"__v{k}"), F.col("plain").alias(f"__p{k}")) for t, k in (("title", "a"), ("__t", "b")))
+    rows = written(rows.join(one, "title", "left").join(two, "__t"), "versions")
     names = F.flatten(F.transform(F.coalesce("result_artists", F.array().cast("array<string>")), X.artist_parts))
-    targets = F.concat(names, F.array_compact(F.array(X.normalize(F.col("result_title")))))
-    each = base.select("__row", F.explode(X.artist_parts(F.col("artist"))).alias("s"), targets.alias("t")).select("__row", "s", F.explode("t").alias("t"))
-    artists = each.groupBy("__row").agg(F.max(X.flexible_similarity(F.col("s"), F.col("t"))).alias("artist_score"))
-    out = base.join(artists, "__row", "left").withColumn("artist_score", F.coalesce("artist_score", F.lit(0.0)))
+    each = rows.select("__row", F.explode(X.artist_parts(F.col("artist"))).alias("a"), F.concat(names, F.array("__pb")).alias("t")).select("__row", "a", F.explode("t").alias("b"))
+    each = written(each, "artists")
+    compared = rows.select(F.col("__a").alias("a"), F.col("__b").alias("b")).union(each.select("a", "b")).union(rows.select(F.col("__va.remix_name"), F.col("__vb.remix_name"))).where("a is not null and b is not null").distinct()
+    like = written(compared.withColumn("like", X.flexible_similarity(F.col("a"), F.col("b"))), "similarities")
+    artists = each.join(like, ["a", "b"]).groupBy("__row").agg(F.max("like").alias("artist_score"))
+    title = like.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("like").alias("title_score"))
+    remix = like.select(F.col("a").alias("__ra"), F.col("b").alias("__rb"), F.col("like").alias("__remix_like"))
+    out = rows.withColumn("__ra", F.col("__va.remix_name")).withColumn("__rb", F.col("__vb.remix_name")).join(title, ["__a", "__b"], "left").join(remix, ["__ra", "__rb"], "left").join(artists, "__row", "left")
+    out = out.fillna(0.0, ["title_score", "artist_score"]).withColumn("version", X.compatibility(F.col("__va"), F.col("__vb"), F.col("__remix_like")))
     w = TITLE_WEIGHT[source_type]
     combined = F.lit(w) * F.col("title_score") + F.lit(1 - w) * F.col("artist_score") - F.col("version.penalty")
     bad = X.bad_video(F.col("title"), F.col("result_title")) if source_type == "video" else F.lit(None).cast("string")
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), combined))).withColumn("bad_video", bad).drop("__a", "__b", "__row")
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), combined))).withColumn("bad_video", bad).select(*pairs.columns, "title_score", "artist_score", "version", "score", "bad_video")
 
 
 def ranked(rows: DataFrame, key: str, video: str = "video_id", seq: str = "seq") -> DataFrame:
