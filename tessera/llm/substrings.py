@@ -199,7 +199,7 @@ def found_spans(docs: DataFrame, length: int) -> DataFrame:
 
 def windows(docs: DataFrame, rest: DataFrame, length: int) -> DataFrame:
     """(anchor, context, r1, r2), r1 = r2, of the windows that repeat among the blocks left over."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(rest, "context"))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(rest, "anchor"), bitmap(rest, "context")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -208,12 +208,14 @@ def windows(docs: DataFrame, rest: DataFrame, length: int) -> DataFrame:
             for data in texts:
                 if not (found := runs(data, length)):
                     continue
-                for h, p, a, b in zip(*(x.tolist() for x in found), strict=True):
-                    context = name(piece := data[a : b + length])
-                    key = (h, context)
-                    if key not in seen and within(shared.value, np.array([context]))[0]:
-                        seen.add(key)
-                        rows.append((h, context, p - a, piece))
+                keep = within(shared.value[0], found[0])
+                if not keep.any():
+                    continue
+                lot = [(h, name(piece := data[a : b + length]), p - a, piece) for h, p, a, b in zip(*(x[keep].tolist() for x in found), strict=True)]
+                for row, open_ in zip(lot, within(shared.value[1], np.array([r[1] for r in lot], np.int64)).tolist(), strict=True):
+                    if open_ and row[:2] not in seen:
+                        seen.add(row[:2])
+                        rows.append(row)
             if len(seen) > 500_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "context", "off", "piece"])
@@ -251,13 +253,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = written(found_spans(docs, length).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     shared = df.sparkSession.sparkContext.broadcast(bitmap(spans, "d1"))
     id_type = df.schema[id_col].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their digest; texts that surely keep all bytes need no partner and get no digest."""
+    def lots(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.Array, list[bytes], list[tuple[int, int]]]]:
+        """Ids, texts and digests of the rows that may lose bytes, or of those that surely don't."""
         for batch, texts in texts_of(batches, 1):
             d = [digest(x) for x in texts]
-            some = within(shared.value, np.array([x[0] for x in d], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *(pa.array([x[i] if s else None for x, s in zip(d, some, strict=True)], pa.int64()) for i in (0, 1))], ["id", "bytes", "d1", "d2"])
+            chosen = within(shared.value, np.array([x[0] for x in d], np.int64)) == hit
+            at = np.flatnonzero(chosen)
+            yield batch.column(0).take(pa.array(at)), [texts[i] for i in at], [d[i] for i in at]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, _ in lots(batches, False):
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([[]] * n, kinds[2]), pa.array(texts, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, d in lots(batches, True):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1))], ["id", "bytes", "d1", "d2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,15 +281,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     gone = merged([(s["start"], s["end"]) for s in found or []])
                     edges = [0, *(x for span in gone for x in span), len(data)]
                     rows.append((len(data), sum(b - a for a, b in gone), gone, b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
                 columns = [[r[0] for r in rows], [r[1] for r in rows], [[{"start": a, "end": b} for a, b in r[2]] for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes")).mapInArrow(keyed, f"id {id_type}, bytes binary, d1 long, d2 long")
-    plain = rows.where("d1 is null").select("id", "bytes", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    hit = rows.where("d1 is not null").join(spans, ["d1", "d2"], "left").select("id", "bytes", "spans")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes"))
+    hit = rows.mapInArrow(keyed, f"id {id_type}, bytes binary, d1 long, d2 long").join(spans, ["d1", "d2"], "left").select("id", "bytes", "spans")
     out = f"id {id_type}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return plain.union(hit).mapInArrow(cut, out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(whole, out).union(hit.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
 
 
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
