@@ -856,6 +856,124 @@ def t6(spark, sf_dir):
     return rounded(state.merged_moments(parts, ["event_type"]), "mean", "std")
 
 
+@query("j6_evidence", """
+WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS g FROM events GROUP BY user_id)
+SELECT user_id, list_transform(g, lambda x: CASE WHEN x = 'purchase' THEN x || ':search:strong' ELSE x || ':genre_tag:medium' END) AS evidence FROM u""")
+def j6(spark, sf_dir):
+    u = t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("discovered_for"))
+    found = F.filter(F.transform("discovered_for", lambda g: F.struct(g.alias("genre_id"), F.lit("search").alias("type"), F.lit("strong").alias("strength"))), lambda e: e["genre_id"] == "purchase")
+    rows = u.withColumn("retrieval_evidence", found)
+    return rows.select("user_id", F.transform(collect.evidence(rows), lambda e: F.concat_ws(":", e["genre_id"], e["type"], e["strength"])).alias("evidence"))
+
+
+@query("j10_j11_coverage", "SELECT n_name AS id, count(c_custkey) AS pool, count(*) FILTER (c_acctbal > 5000) AS selected, greatest(0, 70 - count(c_custkey)) AS shortfall FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def j10(spark, sf_dir):
+    n = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("pool"), F.count_if(F.col("c_acctbal") > 5000).alias("selected"))
+    out = t(spark, sf_dir, "nation").join(n, "n_nationkey", "left").fillna(0, ["pool", "selected"])
+    return out.select(F.col("n_name").alias("id"), "pool", "selected", F.greatest(F.lit(0).cast("long"), F.lit(70) - F.col("pool")).alias("shortfall"))
+
+
+@query("j12_m3_plan_with_performance", f"""
+WITH r AS ({ORDER_ROWS}), e AS (SELECT label, c_custkey, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT label, CAST(sum(n) AS BIGINT) AS tracks, count(*) AS artists FROM e GROUP BY label),
+f AS (SELECT label, CASE WHEN label LIKE 'B%' THEN 'NaN'::DOUBLE WHEN label LIKE 'M%' THEN 0.25::DOUBLE END AS f1 FROM s)
+SELECT label, round_even(0.45::DOUBLE * (greatest(0, 800 - tracks) / 800.0::DOUBLE) + 0.45::DOUBLE * (greatest(0, 600 - artists) / 600.0::DOUBLE) + 0.10::DOUBLE * (CASE WHEN f1 IS NULL OR isnan(f1) THEN 0 ELSE greatest(0, 0.5::DOUBLE - f1) / 0.5::DOUBLE END), 6) AS priority FROM s JOIN f USING (label)""")
+def j12(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    known = rows.select("label").distinct().where("label not like 'F%'").withColumn("f1", F.when(F.col("label").startswith("B"), F.lit(float("nan"))).when(F.col("label").startswith("M"), F.lit(0.25)))
+    return support.plan(rows, known, "label", "c_custkey", **PLAN).select("label", "priority")
+
+
+@query("j13_queue", "SELECT o_orderkey, o_orderstatus = 'P' AS failed_before FROM orders WHERE o_orderstatus <> 'F'")
+def j13(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    done = o.where("o_orderstatus = 'F'").select("o_orderkey")
+    failed = o.where("o_orderstatus = 'P'").select("o_orderkey", F.lit(True).alias("failed_before"))
+    return o.select("o_orderkey").join(done, "o_orderkey", "left_anti").join(failed, "o_orderkey", "left").fillna(False, ["failed_before"])
+
+
+@query("j14_eligible", "SELECT DISTINCT d.doc_id FROM documents d JOIN labels l USING (doc_id)")
+def j14(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels").select("doc_id"), "doc_id").distinct()
+
+
+@query("a12_a15_rates", "SELECT o_orderpriority AS tier, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS resolved, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS rate FROM orders GROUP BY 1")
+def a12(spark, sf_dir):
+    n = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("resolved"))
+    return n.withColumn("rate", F.round(metrics.ratio(F.col("resolved"), F.col("n")), 6))
+
+
+@query("a16_reasons", """
+WITH r AS (SELECT user_id, count(DISTINCT event_type) AS k, min(event_type) AS one, CAST(user_id % 3 AS INTEGER) AS split FROM events WHERE value > 60 GROUP BY user_id)
+SELECT split, CASE WHEN k > 1 THEN 'ambiguous_dropped' WHEN one IN ('click', 'view') THEN 'single_parent' ELSE 'excluded_parent_dropped' END AS reason, count(*) AS n FROM r GROUP BY ALL""")
+def a16(spark, sf_dir):
+    return v14(spark, sf_dir).groupBy((F.col("user_id") % 3).cast("int").alias("split"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c7_options", f"""
+WITH nodes AS ({TREE}), l AS (SELECT c_custkey, 'n' || c_nationkey AS label FROM customer)
+SELECT c_custkey, list(b.id ORDER BY b.position) AS options FROM l JOIN nodes a ON a.id = l.label JOIN nodes b ON coalesce(a.parent, a.id) = coalesce(b.parent, b.id) GROUP BY c_custkey""")
+def c7(spark, sf_dir):
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("id"))
+    options = rows.join(F.broadcast(taxonomy.family(tree(spark, sf_dir))), "id").groupBy("c_custkey").agg(F.array_sort(F.collect_set(F.struct("position", "member"))).alias("o"))
+    return options.select("c_custkey", F.transform("o", lambda x: x["member"]).alias("options"))
+
+
+@query("c10_dataset", f"""
+WITH l AS (SELECT o_custkey, list_sort(list_distinct(list('r' || n_regionkey))) AS roots FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN len(roots) > 1 THEN 'ambiguous_to_other' WHEN roots[1] IN ('r0', 'r1') THEN 'single_parent' ELSE 'excluded_parent_to_other' END AS reason, CASE WHEN len(roots) = 1 AND roots[1] IN ('r0', 'r1') THEN roots[1] ELSE 'other' END AS target FROM l""")
+def c10(spark, sf_dir):
+    kept = F.array(F.lit("r0"), F.lit("r1"))
+    return split.single_label(j18(spark, sf_dir), "roots", kept, several="other", excluded="other", other="other").select("o_custkey", "reason", "target")
+
+
+@query("c12_manifest", """
+WITH s AS (SELECT user_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS labels, count(*) AS n_rows FROM events GROUP BY user_id)
+SELECT user_id, labels, n_rows, coalesce(status, 'pending') AS status FROM u LEFT JOIN s USING (user_id)""")
+def c12(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("labels", F.array("event_type"))
+    last = state.compacted(e.select("user_id", "event_id", F.col("event_type").alias("status")), "user_id", "event_id").select("user_id", "status")
+    return identity.merge(e, "user_id", ["labels"], [], "event_id").join(last, "user_id", "left").fillna("pending", ["status"])
+
+
+@query("c13_embedding_manifest", "SELECT d.doc_id, CASE WHEN e.vec_id IS NOT NULL THEN 'embedded' WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE 'pending' END AS status FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND len(e.embedding) = 64 LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
+def c13(spark, sf_dir):
+    good = t(spark, sf_dir, "embeddings").where(vectors.valid(F.col("embedding"), 64)).select(F.col("vec_id").alias("doc_id"), F.lit("embedded").alias("a"))
+    log = t(spark, sf_dir, "labels").select("doc_id", F.lit("labelled").alias("b")).distinct()
+    return t(spark, sf_dir, "documents").select("doc_id").join(good, "doc_id", "left").join(log, "doc_id", "left").select("doc_id", F.coalesce("a", "b", F.lit("pending")).alias("status"))
+
+
+@query("n1_n4_logistic")
+def n1(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    e = t(spark, sf_dir, "embeddings")
+    rows = e.join(F.broadcast(support.class_weights(e, "label").select("label", "weight")), "label").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector("embedding").alias("features"), "weight")
+    model = LogisticRegression(maxIter=50, regParam=1e-4, weightCol="weight").fit(rows)
+    return model.transform(rows).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("n2_hidden_layer")
+def n2(spark, sf_dir):
+    import numpy as np
+
+    rng = np.random.default_rng(1337)
+    hidden = rng.normal(size=(64, 16)), np.zeros(16)
+    s = vectors.linear_scores(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", rng.normal(size=(16, 10)), np.zeros(10), hidden)
+    return s.select("vec_id", vectors.argmax(F.col("scores")).alias("predicted"))
+
+
+@query("o16_genre_queries", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [lower(n_name)] ELSE [lower(n_name), 'x' || n_nationkey] END AS queries FROM nation")
+def o16(spark, sf_dir):
+    every = F.concat(F.array(F.lower("n_name"), F.upper("n_name")), F.when(F.col("n_nationkey") % 2 == 1, F.array(F.concat(F.lit("x"), "n_nationkey"))).otherwise(F.array(F.lower("n_name"))))
+    return t(spark, sf_dir, "nation").select("n_nationkey", identity.ordered_distinct(every, F.lower).alias("queries"))
+
+
+@query("k5_report", "SELECT '{\"rows\":' || count(*) || ',\"users\":' || count(DISTINCT user_id) || '}' AS report FROM events")
+def k5(spark, sf_dir):
+    return t(spark, sf_dir, "events").agg(files.report(rows=F.count(F.lit(1)), users=F.countDistinct("user_id")).alias("report"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
