@@ -161,17 +161,29 @@ def bare_title(title: Column) -> Column:
     return strip_decorations(strip_credit(title))
 
 
-def base_title(title: Column) -> Column:
-    """The title without credits, decorations and version suffixes, normalised."""
+def unversioned(title: Column) -> Column:
+    """The title without credits, decorations and version suffixes."""
     out = bare_title(title)
     for suffix in VERSION_SUFFIXES:
         out = F.regexp_replace(out, suffix, "")
-    return normalize(out)
+    return out
+
+
+def base_title(title: Column) -> Column:
+    return normalize(unversioned(title))
+
+
+def remix_name(title: Column) -> Column:
+    return F.regexp_extract(bare_title(title), REMIX_NAME, 1)
 
 
 def version(title: Column) -> Column:
     """A struct of the version flags (substrings of the normalised title) and the remix's name."""
-    text = normalize(bare_title(title))
+    return version_of(normalize(bare_title(title)), normalize(remix_name(title)))
+
+
+def version_of(text: Column, name: Column) -> Column:
+    """The same from the normalised bare title and remix name, for titles taken apart before."""
 
     def has(words: tuple[str, ...]) -> Column:
         out = F.contains(text, F.lit(words[0]))
@@ -179,23 +191,22 @@ def version(title: Column) -> Column:
             out = out | F.contains(text, F.lit(w))
         return out
 
-    name = normalize(F.regexp_extract(bare_title(title), REMIX_NAME, 1))
     return F.struct(*[has(w).alias(flag) for flag, w in VERSION_FLAGS.items()], F.when(name != "", name).alias("remix_name"))
 
 
 def compatibility(a: Column, b: Column, remix_like: Column) -> Column:
     """Struct (ok, penalty, reason) of two versions, as version() gives them, and the similarity of their remix names."""
-    clash = F.when(a["remix"] != b["remix"], F.struct(F.lit(0.40).alias("penalty"), F.lit("remix_original_mismatch").alias("reason")))
-    other = a["remix"] & b["remix"] & F.coalesce(remix_like < 0.55, F.lit(False))
-    clash = clash.when(other, F.struct(F.lit(0.40).alias("penalty"), F.lit("different_remix").alias("reason")))
-    for flag in ("live", "acoustic", "instrumental", "vip", "bootleg", "mashup"):
-        clash = clash.when(a[flag] != b[flag], F.struct(F.lit(0.35).alias("penalty"), F.lit(f"{flag}_mismatch").alias("reason")))
-    for one, two in (("radio", "extended"), ("extended", "radio")):
-        clash = clash.when(a[one] & b[two], F.struct(F.lit(0.30).alias("penalty"), F.lit(f"{one}_{two}_mismatch").alias("reason")))
+    rules = [(a["remix"] != b["remix"], 0.40, "remix_original_mismatch"), (a["remix"] & b["remix"] & F.coalesce(remix_like < 0.55, F.lit(False)), 0.40, "different_remix")]
+    rules += [(a[flag] != b[flag], 0.35, f"{flag}_mismatch") for flag in ("live", "acoustic", "instrumental", "vip", "bootleg", "mashup")]
+    rules += [(a[one] & b[two], 0.30, f"{one}_{two}_mismatch") for one, two in (("radio", "extended"), ("extended", "radio"))]
     radio, extended = a["radio"] != b["radio"], a["extended"] != b["extended"]
-    penalty = F.when(radio, F.lit(0.06)).otherwise(F.lit(0.0)) + F.when(extended, F.lit(0.08)).otherwise(F.lit(0.0))
-    reason = F.when(extended, "extended_qualification_difference").when(radio, "radio_qualification_difference")
-    return F.struct(clash.isNull().alias("ok"), F.coalesce(clash["penalty"], penalty).alias("penalty"), F.when(clash.isNotNull(), clash["reason"]).otherwise(reason).alias("reason"))
+    result = lambda ok, penalty, reason: F.struct(F.lit(ok).alias("ok"), F.lit(penalty).alias("penalty"), F.lit(reason).cast("string").alias("reason"))
+    out = F.when(rules[0][0], result(False, *rules[0][1:]))
+    for test, penalty, reason in rules[1:]:
+        out = out.when(test, result(False, penalty, reason))
+    out = out.when(radio & extended, result(True, 0.14, "extended_qualification_difference"))
+    out = out.when(radio, result(True, 0.06, "radio_qualification_difference")).when(extended, result(True, 0.08, "extended_qualification_difference"))
+    return out.otherwise(result(True, 0.0, None))
 
 
 def artist_parts(artist: Column) -> Column:
@@ -203,10 +214,9 @@ def artist_parts(artist: Column) -> Column:
     return F.filter(F.transform(F.split(artist, COLLABORATION), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "))), lambda x: x != "")
 
 
-def bad_video(source_title: Column, title: Column) -> Column:
-    """Why a video isn't a recording of the title; null if it may be one."""
-    target, source = normalize(title), normalize(source_title)
-    out = F.when(title.isNull(), F.lit("missing_video_title"))
+def bad_video(source: Column, target: Column, missing: Column) -> Column:
+    """Why a video isn't a recording of a title, both normalised; null if it may be one."""
+    out = F.when(missing, F.lit("missing_video_title"))
     for term in BAD_VIDEO_TERMS:
         plain = " ".join(re.findall(r"[a-z0-9]+", term))
         out = out.when(F.contains(target, F.lit(plain)) & ~F.contains(source, F.lit(plain)), F.lit("video_" + plain.replace(" ", "_")))

@@ -28,7 +28,9 @@ def scored(pairs: DataFrame, source_type: str) -> DataFrame:
     # Each distinct title is taken apart once, and each distinct pair of normal forms compared once.
     rows = written(pairs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__t", F.coalesce("result_title", F.lit(""))), "pairs")
     titles = rows.select(F.col("title").alias("t")).union(rows.select("__t")).where("t is not null").distinct()
-    parts = written(titles.select("t", X.base_title(F.col("t")).alias("base"), X.version(F.col("t")).alias("v"), X.normalize(F.col("t")).alias("plain")), "titles")
+    apart = written(titles.select("t", X.bare_title(F.col("t")).alias("bare"), X.unversioned(F.col("t")).alias("base"), X.remix_name(F.col("t")).alias("remix")), "titles")
+    plain = written(apart.select("t", *[X.normalize(F.col(c)).alias(c) for c in ("bare", "base", "remix")], X.normalize(F.col("t")).alias("plain")), "titles")
+    parts = plain.select("t", "base", "plain", X.version_of(F.col("bare"), F.col("remix")).alias("v"))
     one, two = (parts.select(F.col("t").alias(t), F.col("base").alias(f"__{k}"), F.col("v").alias(f"__v{k}"), F.col("plain").alias(f"__p{k}")) for t, k in (("title", "a"), ("__t", "b")))
     rows = written(rows.join(one, "title", "left").join(two, "__t"), "versions")
     names = F.flatten(F.transform(F.coalesce("result_artists", F.array().cast("array<string>")), X.artist_parts))
@@ -41,10 +43,12 @@ def scored(pairs: DataFrame, source_type: str) -> DataFrame:
     remix = like.select(F.col("a").alias("__ra"), F.col("b").alias("__rb"), F.col("like").alias("__remix_like"))
     out = rows.withColumn("__ra", F.col("__va.remix_name")).withColumn("__rb", F.col("__vb.remix_name")).join(title, ["__a", "__b"], "left").join(remix, ["__ra", "__rb"], "left").join(artists, "__row", "left")
     out = out.fillna(0.0, ["title_score", "artist_score"]).withColumn("version", X.compatibility(F.col("__va"), F.col("__vb"), F.col("__remix_like")))
+    bad = X.bad_video(F.coalesce("__pa", F.lit("")), F.col("__pb"), F.col("result_title").isNull()) if source_type == "video" else F.lit(None).cast("string")
+    # The rules are long expressions: their results are read several times below, so they are computed once.
+    out = written(out.withColumn("bad_video", bad).select(*pairs.columns, "title_score", "artist_score", "version", "bad_video"), "scored")
     w = TITLE_WEIGHT[source_type]
     combined = F.lit(w) * F.col("title_score") + F.lit(1 - w) * F.col("artist_score") - F.col("version.penalty")
-    bad = X.bad_video(F.col("title"), F.col("result_title")) if source_type == "video" else F.lit(None).cast("string")
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), combined))).withColumn("bad_video", bad).select(*pairs.columns, "title_score", "artist_score", "version", "score", "bad_video")
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), combined)))
 
 
 def ranked(rows: DataFrame, key: str, video: str = "video_id", seq: str = "seq") -> DataFrame:
