@@ -39,35 +39,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._written_to = path
+    return table_
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by written(), once all that was read from it is written itself."""
+    _delete(df.sparkSession, df._written_to)
 
 
 @atexit.register
 def _clean() -> None:
     for ref, path in _made:
-        spark = ref()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(ref(), path)
         except Exception:  # noqa: BLE001 - the session is gone already
-            pass
-
-
-def dropped(path_df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing reads it any more."""
-    spark = path_df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in path_df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            return
 
 
 def crc_mod(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo mod; a null id counts as the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
-
-
-def short_tasks(df: DataFrame) -> DataFrame:
-    """Few large input splits leave cores idle in Python stages; this is a plain pass-through where splits are many."""
-    return df

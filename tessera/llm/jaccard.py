@@ -36,15 +36,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, written
 
 #: Frequent shingles that a task notes at least this often are reported; the table keeps at most this many, 16 bytes each.
 OFTEN, FREQUENT = 3, 1 << 20
 #: Shingles that a task counts before it lets go of those seen once: this bounds its memory.
 COUNTED = 1 << 20
 #: Wanted documents up to which their keys are broadcast (16 bytes each); beyond, the texts are joined.
-FEW_DOCS = 1 << 21
-STARS = 2
+FEW_DOCS = 1 << 20
+#: Rounds of stars, and the part of a smaller set, one in so many, that a star's pair must share within prefixes.
+STARS, STAR_SHARE = 2, 20
+#: Bits of a broadcast bitmap of shingles, 16 MiB; it only saves rows, a join decides.
+BITMAP = 1 << 27
 ROWS = 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -181,8 +184,24 @@ def prefixes(df: DataFrame, frequent, size: int, num: int, den: int) -> DataFram
     return df.mapInArrow(run, "shingle long, node long, n int, at int")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, id) from documents (id, bytes): sets as sorted hashes, 8 bytes each."""
+def shared_shingles(first: DataFrame, shared: DataFrame) -> DataFrame:
+    """The prefix rows whose shingle several nodes have: a bitmap leaves out most others before the join decides."""
+    at = F.pmod(F.col("shingle"), F.lit(BITMAP))
+    words = shared.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    bits = np.zeros(BITMAP // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    known = first.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.mod(batch.column(0).to_numpy(), BITMAP)
+            yield batch.filter(pa.array((known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return first.mapInArrow(run, first.schema).join(shared, "shingle").distinct()
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, bytes) of the wanted (node, id) from documents (id, bytes)."""
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
     texts = docs.join(F.broadcast(ids) if ids.count() <= FEW_DOCS else ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("bytes")
 
@@ -190,10 +209,11 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         known = Words()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                sets = [shingles(t, size, known) for t in whole.column(0).slice(at, ROWS).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                batch = whole.slice(at, ROWS)
+                names = [digest(shingles(t, size, known))[0] for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0)], ["node", "bytes"])
 
-    return texts.mapInArrow(run, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, bytes binary").dropDuplicates(["node"])
 
 
 def least_overlap(na, nb, num: int, den: int):
@@ -215,26 +235,37 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return suffix_bound(a[:i], b[:j], depth - 1) + here + suffix_bound(a[i + 1 :], b[j + here :], depth - 1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that link; texts compress where sets of hashes don't, so texts travel and sets are made again."""
+    one = texts.select(F.col("node").alias("a"), F.col("bytes").alias("ta"))
+    two = texts.select(F.col("node").alias("b"), F.col("bytes").alias("tb"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = least_overlap(len(a), len(b), num, den)
-                if len(a) > len(b):
-                    a, b = b, a
-                if not suffix_allows(a, b, least):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                keep.append(int(np.count_nonzero(b[at] == a)) >= least)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        known, sets = Words(), {}
+
+        def of(node: int, text: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) > 256:
+                    sets.clear()
+                sets[node] = shingles(text, size, known)
+            return sets[node]
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                keep = []
+                for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    a, b = of(x, s), of(y, t)
+                    least = least_overlap(len(a), len(b), num, den)
+                    if len(a) > len(b):
+                        a, b = b, a
+                    if not suffix_allows(a, b, least):
+                        keep.append(False)
+                        continue
+                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                    keep.append(int(np.count_nonzero(b[at] == a)) >= least)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -272,11 +303,10 @@ def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[Dat
     frequent = frequent_table(signed)
     rows = written(signed.where("kind = 0").select("id", "n", "d1", "d2"), "documents")
     first = written(prefixes(docs.select("bytes"), frequent, size, num, den), "prefixes")
-    several = first.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
-    left = written(first.join(several, "shingle").distinct(), "shared")
+    shared = written(first.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle"), "shared")
+    left = written(shared_shingles(first, shared), "left")
+    dropped(first)
     nodes = rows.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("id"))
-    need = left.select("node").distinct().join(nodes, "node")
-    sets = written(wanted_sets(docs, need, size), "sets")
     links = tried = labels = None
 
     def could(na, nb, pa_, pb_):
@@ -291,29 +321,38 @@ def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[Dat
         n = pairs.count()
         if n:
             tried = pairs if tried is None else tried.union(pairs)
-            new = written(verified(pairs, sets, num, den), "verified")
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            texts = written(wanted_texts(docs, ends.join(nodes, "node"), size), "texts")
+            new = written(verified(pairs, texts, size, num, den), "verified")
+            dropped(texts)
             links = new if links is None else links.union(new)
             if new.limit(1).count():
                 labels = written(components(links), "labels")
         return n
 
+    def counted(met: DataFrame) -> DataFrame:
+        """(a, b) with the number of shared prefix shingles, sizes and the last shared places."""
+        return met.where(could("n", "nb", "at", "pb")).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("pa"), F.max("pb").alias("pb"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+
+    ordered_pair = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     for turn in range(STARS):
         here = labelled(left, labels)
         # The star's centre: another order of the nodes each turn, the same one for all shingles.
         order = F.xxhash64("node", F.lit(turn))
         centre = here.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle", "c.*")
-        star = here.join(centre, "shingle").where((F.col("label") != F.col("lb")) & could("n", "nb", "at", "pb"))
-        if not found(star.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()):
+        votes = counted(here.join(centre, "shingle").where(F.col("label") != F.col("lb")))
+        # Stars only save work, so each node tries one centre, the one of most shingles, if they are a share that links have.
+        best = votes.where(F.col("c") * STAR_SHARE >= F.least("na", "nb")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        if not found(best.select(*ordered_pair).distinct()):
             break
     here = labelled(left, labels)
     open_ = here.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
     here = written(here.join(open_, "shingle"), "open")
     other = here.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
-    met = here.join(other, "shingle").where((F.col("node") > F.col("b")) & (F.col("label") != F.col("lb")) & could("n", "nb", "at", "pb"))
-    # All of a pair's shared prefix shingles are here, so together they bound the intersection.
-    pairs = met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("pa"), F.max("pb").alias("pb"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    met = here.join(other, "shingle").where((F.col("node") > F.col("b")) & (F.col("label") != F.col("lb")))
+    # All of a pair's shared prefix shingles are here, so they and what stands behind the last of them bound the intersection.
     least = F.ceil(F.lit(num) * (F.col("na").cast("long") + F.col("nb")) / F.lit(num + den)).cast("long")
-    found(pairs.where(F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= least).select("a", "b"))
+    found(counted(met).where(F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= least).select("a", "b"))
     return rows, labels
 
 
