@@ -297,6 +297,16 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after further links: only components that links join are worked on, each as one node."""
+    if labels is None:
+        return components(links)
+    ends = labelled(labelled(links.withColumnRenamed("a", "node"), labels).select(F.col("label").alias("a"), F.col("b").alias("node")), labels).select("a", F.col("label").alias("b"))
+    joined = written(components(ends.where("a <> b").distinct()), "joined")
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).union(joined)
+
+
 def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """From (id, bytes): the signed documents (id, n, d1, d2), and the labels of linked nodes (None if nothing links)."""
     signed = written(signatures(docs, size), "signatures")
@@ -307,7 +317,7 @@ def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[Dat
     left = written(shared_shingles(first, shared), "left")
     dropped(first)
     nodes = rows.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("id"))
-    links = tried = labels = None
+    tried = labels = None
 
     def could(na, nb, pa_, pb_):
         """The length filter, and the positional one: no more can be common than stands before, at and behind a shared shingle in both sets."""
@@ -316,7 +326,7 @@ def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[Dat
         return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (F.least(n_a - F.col(pa_), n_b - F.col(pb_)) + F.least(F.col(pa_), F.col(pb_)) >= least)
 
     def found(pairs: DataFrame) -> int:
-        nonlocal links, tried, labels
+        nonlocal tried, labels
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         n = pairs.count()
         if n:
@@ -325,9 +335,8 @@ def link_components(docs: DataFrame, size: int, num: int, den: int) -> tuple[Dat
             texts = written(wanted_texts(docs, ends.join(nodes, "node"), size), "texts")
             new = written(verified(pairs, texts, size, num, den), "verified")
             dropped(texts)
-            links = new if links is None else links.union(new)
             if new.limit(1).count():
-                labels = written(components(links), "labels")
+                labels = written(relabelled(labels, new), "labels")
         return n
 
     def counted(met: DataFrame) -> DataFrame:
