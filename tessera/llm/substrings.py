@@ -26,7 +26,6 @@ columns of the input are not read, whatever their names.
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,7 +300,3 @@ def brute_force(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
         for i in range(len(t) - length + 1):
             count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
     return [merged([(i, i + length) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1]) for t in texts]
-
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
