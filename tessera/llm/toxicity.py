@@ -38,11 +38,13 @@ from pyspark.sql import types as T
 #: Decay of the kernel by letter spanned, classes of letters, longest string; longer words are read in windows of this that overlap by half.
 DECAY, LETTERS, LONGEST = 0.6, 64, 24
 #: Labelled documents of each kind that training uses at most, the ones with the lowest md5 of their ids.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
+TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 #: Landmarks, half of them words that speak for toxicity; rounds of choosing witnesses; penalty of the machine.
 LANDMARKS, ROUNDS, PENALTY = 160, 4, 1.0
 #: A word tells by its frequency if its share among toxic documents lies so many standard deviations above chance and is so many times that among clean ones.
 TELLING, RATIO = 4.0, 10.0
+#: Words mapped at once, and words of clean documents that training uses for their likeness to landmarks.
+LOT, HARD = 8_192, 60_000
 #: Rows that are worked on together, and words whose values a task keeps.
 ROWS, KNOWN = 128, 500_000
 
@@ -146,7 +148,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     np.add.at(table, (place, [r[1] for r in rows]), [r[2] for r in rows])
     index = np.full(LETTERS**3, len(known))
     index[known] = np.arange(len(known))
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     for at, lot in by_length(words):
         keys, weight = subsequences(lot)
         scale = norms(keys, weight)
@@ -156,19 +158,25 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A linear support vector machine with squared hinge loss, by Newton's method; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * PENALTY
+def machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A linear support vector machine with squared hinge loss on some rows of x, by Newton's method; the last weight is the bias."""
+    size = x.shape[1] + 1
+    w, ridge = np.zeros(size), np.eye(size) * PENALTY
     ridge[-1, -1] = 1e-6
-    active = None
+    before = None
     for _ in range(30):
-        now = y * (x @ w) < 1
-        if active is not None and (now == active).all():
+        now, left, right = [], ridge.copy(), np.zeros(size)
+        for i in range(0, len(rows), LOT):
+            part = np.pad(x[rows[i : i + LOT]].astype(np.float64), ((0, 0), (0, 1)), constant_values=1.0)
+            yes = y[i : i + LOT] * (part @ w) < 1
+            part, c = part[yes], weight[i : i + LOT][yes]
+            left += (part * c[:, None]).T @ part
+            right += part.T @ (c * y[i : i + LOT][yes])
+            now.append(yes)
+        active = np.concatenate(now)
+        if before is not None and (active == before).all():
             break
-        active = now
-        a, c = x[active], weight[active]
-        w = np.linalg.solve(ridge + (a * c[:, None]).T @ a, a.T @ (c * y[active]))
+        before, w = active, np.linalg.solve(left, right)
     return w
 
 
@@ -210,26 +218,38 @@ def curve(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def fit(bags: list[set[str]], toxic: np.ndarray) -> Model:
     """A model from the strings of documents and whether each document is toxic."""
+    words = sorted(set().union(*bags)) if bags else []
+    place = {w: i for i, w in enumerate(words)}
+    inside = [np.array(sorted(place[w] for w in bag), np.int32) for bag in bags]
+    return fit_places(words, inside, toxic)
+
+
+def fit_places(words: list[str], inside: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """The same from the sorted words and each document's places among them."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(1), 0.0, 0.0, 0.0, empty=True)
-    words = sorted(set().union(*bags))
-    place = {w: i for i, w in enumerate(words)}
-    inside = [np.array(sorted(place[w] for w in bag), np.int64) for bag in bags]
-    flat, row = np.concatenate(inside), np.repeat(np.arange(len(bags)), [len(b) for b in inside])
+    flat, row = np.concatenate(inside), np.repeat(np.arange(len(inside)), [len(b) for b in inside])
     bad = np.bincount(flat[toxic[row]], minlength=len(words))
     good = np.bincount(flat[~toxic[row]], minlength=len(words))
     bad_share, good_share = bad / toxic.sum(), good / (~toxic).sum()
     # How far a word's share among toxic documents lies above chance, in standard deviations.
-    chance = (bad + good + 1) / (len(bags) + 2)
+    chance = (bad + good + 1) / (len(inside) + 2)
     lift = (bad_share - good_share) / np.sqrt(chance * (1 - chance) * (1 / toxic.sum() + 1 / (~toxic).sum()))
     telling = (lift >= TELLING) & (bad_share > RATIO * good_share)
     top = np.argsort(-lift, kind="stable")[: LANDMARKS // 2]
-    like = kernel(words, [words[i] for i in top]).max(axis=1) * np.log1p(good) * ~telling
-    chosen = [words[i] for i in dict.fromkeys([*top.tolist(), *np.argsort(-like, kind="stable")[: LANDMARKS // 2].tolist()])]
+    like = np.concatenate([kernel(words[i : i + LOT], [words[j] for j in top]).max(axis=1) for i in range(0, len(words), LOT)]) * np.log1p(good) * ~telling
+    hard = np.argsort(-like, kind="stable")
+    chosen = [words[i] for i in dict.fromkeys([*top.tolist(), *hard[: LANDMARKS // 2].tolist()])]
+    # Of the words that one clean document has, those least like the landmarks teach nothing.
+    used = np.unique(np.concatenate([np.flatnonzero((bad > 0) | (good > 1)), hard[:HARD]]))
+    renamed = np.full(len(words), -1)
+    renamed[used] = np.arange(len(used))
+    inside = [n[n >= 0] for n in (renamed[b] for b in inside)]
+    words, bad, good, lift, telling = [words[i] for i in used], bad[used], good[used], lift[used], telling[used]
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    mapped = (kernel(words, chosen) @ root).astype(np.float32)
+    mapped = np.concatenate([(kernel(words[i : i + LOT], chosen) @ root).astype(np.float32) for i in range(0, len(words), LOT)])
     seen_good = np.flatnonzero((good > 0) & ~telling)
     value, counts = np.where(telling, 1.0, -1.0), bad
     w = np.zeros(mapped.shape[1] + 1)
@@ -238,10 +258,9 @@ def fit(bags: list[set[str]], toxic: np.ndarray) -> Model:
         yes = np.flatnonzero((counts > 0) & (telling | (good == 0) & (value > 0.5)))
         if not len(yes):
             break
-        x = np.concatenate([mapped[yes], mapped[seen_good]])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(seen_good))])
         share = np.concatenate([counts[yes] / counts[yes].sum(), good[seen_good] / good[seen_good].sum()])
-        w = machine(x, y, share * len(y) * 0.5)
+        w = machine(mapped, np.concatenate([yes, seen_good]), y, share * len(y) * 0.5)
         value = mapped @ w[:-1] + w[-1]
         witness = [b[np.argmax(value[b])] for b, t in zip(inside, toxic, strict=True) if t and len(b)]
         counts = np.bincount(witness, minlength=len(words))
@@ -271,8 +290,18 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "strings"])
 
     rows = texts.select(F.col("toxic").cast("int"), "__text").mapInArrow(run, "toxic int, strings array<string>").toArrow()
-    bags = sorted(zip(rows["strings"].to_pylist(), rows["toxic"].to_pylist(), strict=True))  # the order of tasks doesn't matter
-    return fit([set(b) for b, _ in bags], np.array([t == 1 for _, t in bags], bool))
+    # Words as places in the sorted list of distinct words; documents in an order that the tasks' order doesn't change.
+    strings_ = rows["strings"].combine_chunks()
+    coded = strings_.flatten().dictionary_encode()
+    names = np.array(coded.dictionary.to_pylist(), object)
+    order = np.argsort(names)
+    rank = np.empty(len(names), np.int32)
+    rank[order] = np.arange(len(names))
+    codes, ends = rank[coded.indices.to_numpy()], np.cumsum(np.r_[0, strings_.value_lengths().to_numpy(zero_copy_only=False)])
+    toxic = rows["toxic"].to_numpy() == 1
+    inside = [np.sort(codes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    turn = sorted(range(len(inside)), key=lambda i: (inside[i].tobytes(), toxic[i]))
+    return fit_places(names[order].tolist(), [inside[i] for i in turn], toxic[turn])
 
 
 RESULT = "score double, predicted int"
