@@ -141,5 +141,5 @@ def repeated(df: DataFrame, order: Column, text_col: str = "text", source_col: s
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """The mix's rows range-sorted by their first position; what the mix leaves out comes last."""
-    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
+    """The mix's rows range-sorted by their first position; what the mix leaves out comes last, by its place, so that ranges part it too."""
+    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "place")
