@@ -8,8 +8,12 @@ at the same place, ends its branch.  Spans found in a layer are mapped to the co
 that they came from: exactly for escapes, by groups of four for base64, to the blob for compressed data.
 
 Defined results: null and empty texts have no spans; spans found twice count once; repeated rows give
-repeated results; other columns of the input are not read, whatever their names.  A blob that would
-unpack to more than UNPACKED bytes, a decompression bomb, is not unwrapped, and the row's `stopped` says so.
+repeated results; other columns of the input are not read, whatever their names.
+
+Bounds: a blob that unpacks to more than UNPACKED bytes is read in blocks of BLOCK bytes that overlap by OVERLAP,
+each block a layer of its own, up to LAYERS bytes.  What one run or line of the text decodes to is read up to LAYERS
+code points.  Neither bound touches another blob, run or line.  Where one was met, the row's `stopped` is true, and
+redact() replaces the whole blob, run or line by `<undecoded>`, as something in it may not have been read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +42,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
 
-#: A blob's largest unpacked size in bytes, and the largest of all of a document's layers in code points.
+#: A blob's largest size in bytes that is unpacked at once, and the most that is decoded of one run or line of a text.
 UNPACKED, LAYERS = 1 << 24, 1 << 27
+#: Larger blobs are read in blocks: bytes of a block, and of its overlap with the next one; bytes unpacked in a step; compressions in each other that are looked through.
+BLOCK, OVERLAP, STEP, DEEP = 1 << 22, 1 << 20, 1 << 16, 64
 ROWS = 256
 
 Span = tuple[int, int, int]  # start, the kind's place in KINDS, end: the order of the result
@@ -144,33 +150,110 @@ class TooLarge(ValueError):
     pass
 
 
+class Source:
+    """Bytes that come in chunks, with a look ahead."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.ahead = iter(chunks), b""
+
+    def head(self, n: int) -> bytes:
+        parts, size = [self.ahead], len(self.ahead)
+        while size < n and (more := next(self.chunks, None)) is not None:
+            parts.append(more)
+            size += len(more)
+        self.ahead = b"".join(parts)
+        return self.ahead[:n]
+
+    def take(self, n: int) -> bytes:
+        found = self.head(n)
+        self.ahead = self.ahead[n:]
+        return found
+
+
+def decompressor(head: bytes):
+    """A decompressor for what begins so; None if that is no compressed data."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def inflated(source: Source) -> Iterator[bytes]:
+    """A compressed blob's content in chunks of bounded size; nothing if it is none."""
+    out = decompressor(source.head(6))
+    if out is None:
+        return
+    limited = not type(out).__module__.startswith("zstandard")  # zstandard bounds no output: it gets little at a time
+    data = b""
+    while not out.eof:
+        if not data and getattr(out, "needs_input", True):
+            data = source.take(STEP if limited else 256)
+            if not data:
+                return
+        found = out.decompress(data, STEP) if limited else out.decompress(data)
+        data = getattr(out, "unconsumed_tail", b"")
+        if found:
+            yield found
+
+
 def unpacked(data: bytes) -> bytes | None:
     """A compressed blob's content; None if it is none."""
+    if decompressor(data[:6]) is None:
+        return None
+    parts, size = [], 0
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            out = zlib.decompressobj(47)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                found = reader.read(UNPACKED + 1)
-            if len(found) > UNPACKED:
-                raise TooLarge
-            return found
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor()
-        else:
-            return None
-        found = out.decompress(data, UNPACKED + 1)
+        for part in inflated(Source([data])):
+            parts.append(part)
+            size += len(part)
+            if size > UNPACKED:
+                raise TooLarge(data)
     except TooLarge:
         raise
     except Exception:  # noqa: BLE001 - each library has errors of its own: not such a blob
         return None
-    if len(found) > UNPACKED:
-        raise TooLarge
-    return found
+    return b"".join(parts)
+
+
+def blocks(data: bytes) -> Iterator[bytes]:
+    """The content of a compressed blob, however large, in overlapping blocks; compressed content is looked through."""
+    source = Source(quietly(inflated(Source([data]))))
+    for _ in range(DEEP):
+        if next(quietly(inflated(Source([source.head(STEP)]))), None) is None:
+            break
+        source = Source(quietly(inflated(source)))
+    block, total = source.take(BLOCK), 0
+    while block:
+        total += len(block)
+        more = source.take(BLOCK - OVERLAP) if total < LAYERS else b""
+        yield block
+        block = block[-OVERLAP:] + more if more else b""
+
+
+def quietly(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks up to an error."""
+    try:
+        yield from chunks
+    except Exception:  # noqa: BLE001 - each library has errors of its own
+        return
+
+
+def characters(block: bytes) -> bytes:
+    """A block of UTF-8 without the parts of characters that its ends cut."""
+    first = next((i for i in range(min(4, len(block))) if block[i] & 0xC0 != 0x80), 0)
+    for i in range(1, min(4, len(block)) + 1):
+        if block[-i] >= 0xC0:
+            width = 2 if block[-i] < 0xE0 else 3 if block[-i] < 0xF0 else 4
+            return block[first : len(block) - i] if i < width else block[first:]
+        if block[-i] < 0x80:
+            break
+    return block[first:]
 
 
 def readable(data: bytes) -> str | None:
@@ -212,7 +295,8 @@ def blob_layer(layer: Layer, start: int, run: str) -> Layer | None:
     return Layer(text, pieces, layer)
 
 
-def children(layer: Layer) -> Iterator[Layer]:
+def children(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
+    """The layers in a layer, and the places of blobs that are too large to be read whole."""
     text = layer.text
     for pattern, decode, marks in ((_PERCENT, percent, ("%",)), (_ESCAPE, escape, ("\\", "&#"))):
         at = min([i for i in map(text.find, marks) if i >= 0], default=len(text))
@@ -231,52 +315,75 @@ def children(layer: Layer) -> Iterator[Layer]:
                 runs.append((at, part.rstrip("\r")))
                 at += len(part) + 1
         for start, run in runs:
-            found = blob_layer(layer, start, run)
+            try:
+                found = blob_layer(layer, start, run)
+            except TooLarge as large:
+                yield start, start + len(run)
+                for block in blocks(large.args[0]):
+                    part = readable(characters(block))
+                    if part:
+                        yield Layer(part, [(0, start, start + len(run))], layer)
+                break
             if found:
                 yield found
                 break
 
 
-def scan(text: str) -> tuple[list[Span], set[Span], int, bool]:
-    """The base spans, all spans, the number of layers decoded, and whether a bound stopped the decoding."""
+def unwound(text: str) -> tuple[list[Span], set[Span], int, set[tuple[int, int]]]:
+    """The base spans, all spans, the number of layers decoded, and the places in the text where a bound was met.
+
+    Depth first, one layer of each depth at a time, each child of the text with a bound of its own.
+    """
     base = sorted((s, k, e) for k, s, e in base_spans(text))
-    spans, work, done, layers, size, stopped = set(base), [Layer(text, [], None)], set(), 0, 0, False
+    spans, done, layers, undecoded, size = set(base), set(), 0, set(), 0
+    root = Layer(text, [], None)
+    work = [(root, children(root))]
     while work:
-        layer = work.pop()
-        found = children(layer)
-        while True:
-            try:
-                child = next(found, None)
-            except TooLarge:
-                stopped = True
-                break
-            if child is None:
-                break
-            key = (child.up(0, len(child.text)), child.text)
-            if key in done or child.repeats():
-                continue
-            size += len(child.text)
-            if size > LAYERS:
-                return base, spans, layers, True
-            done.add(key)
-            layers += 1
-            for k, s, e in base_spans(child.text):
-                a, b = child.up(s, e)
-                spans.add((a, k, b))
-            work.append(child)
-    return base, spans, layers, stopped
+        layer, found = work[-1]
+        child = next(found, None)
+        if child is None:
+            work.pop()
+            continue
+        if layer is root:
+            size = 0
+        if isinstance(child, tuple):
+            undecoded.add(layer.up(*child))
+            continue
+        place = child.up(0, len(child.text))
+        key = place, hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest()
+        if key in done or child.repeats():
+            continue
+        size += len(child.text)
+        if size > LAYERS:
+            undecoded.add(place if layer is root else work[1][0].up(0, len(work[1][0].text)))
+            del work[1:]
+            continue
+        done.add(key)
+        layers += 1
+        for k, s, e in base_spans(child.text):
+            a, b = child.up(s, e)
+            spans.add((a, k, b))
+        work.append((child, children(child)))
+    return base, spans, layers, undecoded
+
+
+def scan(text: str) -> tuple[list[Span], set[Span], int, bool]:
+    """The base spans, all spans, the number of layers decoded, and whether a bound was met."""
+    base, spans, layers, undecoded = unwound(text)
+    return base, spans, layers, bool(undecoded)
 
 
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def redacted(text: str, spans) -> str:
-    """The text with each maximal run of overlapping spans replaced by the first one's kind."""
+def redacted(text: str, spans, undecoded=()) -> str:
+    """The text with each maximal run of overlapping spans replaced by the first one's kind; places that stay undecoded go whole."""
+    spans = [x for x in spans if not any(a <= x[0] and x[2] <= b for a, b in undecoded)] + [(a, len(KINDS), b) for a, b in undecoded]
     out, at = [], 0
     for s, k, e in sorted(spans):
         if s >= at:
-            out += [text[at:s], f"<{KINDS[k]}>"]
+            out += [text[at:s], f"<{(*KINDS, 'undecoded')[k]}>"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
@@ -306,7 +413,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """All rows and columns, secrets in the text replaced by `<kind>`; the length column, if there is one, follows the changed texts."""
+    """All rows and columns, secrets in the text replaced by `<kind>`, what a bound leaves undecoded by `<undecoded>`; the length column, if there is one, follows the changed texts."""
     at, length_at = df.columns.index(text_col), df.columns.index(length_col) if length_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +421,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
             for first in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(first, ROWS)
                 texts = batch.column(at).to_pylist()
-                clean = [t if t is None else redacted(t, scan(t)[1]) for t in texts]
+                clean = [t if t is None else redacted(t, *unwound(t)[1::2]) for t in texts]
                 columns = list(batch.columns)
                 columns[at] = pa.array(clean, columns[at].type)
                 if length_at is not None:

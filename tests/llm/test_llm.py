@@ -106,6 +106,23 @@ def test_secrets_exact_mapping_and_bombs():
     assert secrets.scan(bomb)[3] is True
 
 
+def test_secrets_beside_and_inside_large_blobs(spark, monkeypatch):
+    blob = lambda data: base64.b64encode(gzip.compress(data)).decode()
+    large = blob(b"harmless words\n" * (20 << 16) + b"password = hunter3hunter3\n" + b"harmless words\n" * 100)
+    small = base64.b64encode(b"password = hunter2hunter2").decode()
+    text = f"{large} and {small} end"
+    base, spans, _, stopped = secrets.scan(text)
+    assert stopped and any(text[s:e].rstrip("=") == large.rstrip("=") for s, _, e in spans)
+    assert any(s > len(large) for s, _, _ in spans)
+    assert any(k == 0 for _, k, _ in secrets.scan(blob(gzip.compress(b"words\n" * (3 << 20) + b"secret = hunter3hunter3")))[1])
+    clean = secrets.redact(docs(spark, [(1, text, "en", "a")]), "text", "n_chars").first()
+    assert clean.text.startswith("<undecoded>") and small[:12] not in clean.text and clean.text.endswith(" end")
+    monkeypatch.setattr(secrets, "LAYERS", 1000)
+    text = base64.b64encode(b"many words " * 200).decode() + " and " + small
+    base, spans, _, stopped = secrets.scan(text)
+    assert stopped and spans and "<undecoded>" in secrets.redacted(text, *secrets.unwound(text)[1::2])
+
+
 def test_quality_counts_by_brute_force(spark):
     for _, text in [*texts(spark), (0, "a a a a a a a a a"), (0, PROSE * 3)]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
