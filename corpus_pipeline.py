@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs.  All but the last return the columns of documents; extra columns go along untouched.
+The mixing stage sorts by training position, which its files' names and rows keep; the last stage reads them in that order.
 
 Nulls in any column, empty texts, repeated rows and empty tables pass through every stage: a null text is
 clean, has no words and so no near duplicate, and takes no share of the mix (documents without words leave
@@ -60,13 +61,14 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix passes it: not at all, once or twice; the last one of a source's share is kept whole."""
+    """Each document as often as the mix passes it, in training order: not at all, once or twice; the last one of a source's share is kept whole."""
     return mixing.repeated(docs, mixing.text_order("doc_id", "text"), "text", "source")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of each document."""
-    return pieces.encode(docs, model_path()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids, decoded_sha256) of each document, in the order of the files' names and of the rows in them."""
+    ordered = mixing.with_file_place(docs, _ID).orderBy(_ID)
+    return pieces.encode(ordered, model_path()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ from tessera.llm.common import WORD, written
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)))
 #: Documents of a bucket, about.
 BUCKET = 512
-#: Sources up to which the places where passes end are broadcast.
-FEW_SOURCES = 100_000
 
 
 def integral(knots: tuple) -> list[float]:
@@ -122,22 +121,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"), "key", "place", F.array(*[w for w, _ in passes]).alias("words"))
 
 
-def repeated(df: DataFrame, order: Column, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """All columns of the rows, each as often as a pass takes words of it.
+def with_file_place(df: DataFrame, name: str) -> DataFrame:
+    """Adds (file, row): where a row stands in the files it is read from; other rows are written first."""
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    try:
+        return df.select("*", place)
+    except AnalysisException:  # not read from files
+        return written(df, "rows").select("*", place)
 
-    A pass takes a source's documents in order up to some place, so the mix comes back as one place for each source
-    and pass: texts stay where they are.
-    """
-    place = "__mixing_place"
-    placed = df.withColumn(place, order).withColumn("__mixing_key", source_key(source_col))
-    mixed = mix(placed, place, text_col, source_col, order=F.col(place), **options).withColumn("pass", F.explode(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))))
-    last = mixed.where("pass.w > 0").groupBy("key", "pass.i").agg(F.max("place").alias("last"))
-    lasts = written(last.groupBy("key").agg(F.collect_list("last").alias("__mixing_lasts")).withColumnRenamed("key", "__mixing_key"), "lasts")
-    few = lasts.count() <= FEW_SOURCES
-    joined = placed.join(F.broadcast(lasts) if few else lasts, "__mixing_key")
-    some = F.regexp_like(F.col(text_col), F.lit(WORD))
-    copies = F.filter("__mixing_lasts", lambda x: x >= F.col(place))
-    return joined.where(some).withColumn("__mixing_copy", F.explode(copies)).select(*df.columns)
+
+def repeated(df: DataFrame, order: Column, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """All columns of the rows, once for each pass that takes words of them, range-sorted by the pass's training position."""
+    row, place, position = "__mixing_row", "__mixing_place", "__mixing_position"
+    placed = with_file_place(df, row).withColumn(place, order)
+    mixed = mix(placed, row, text_col, source_col, order=F.col(place), **options)
+    copies = written(mixed.select(row, F.explode("positions").alias(position)), "positions")
+    return placed.join(copies, row).orderBy(position, place, row).select(*df.columns)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

@@ -190,6 +190,20 @@ def test_mix_takes_its_targets(spark):
     assert sorted(map(tuple, got[["doc_id", "taken"]].to_numpy())) == sorted(map(tuple, again[["doc_id", "taken"]].to_numpy()))
 
 
+def test_repeated_follows_the_schedules(spark):
+    d = docs(spark, [(i, PROSE * (1 + i % 3), "en", "abc"[i % 3]) for i in range(300)] + [(5, PROSE, "en", "a")] * 3)
+    order = mixing.text_order("doc_id", "text")
+    orders = []
+    for schedules in (mixing.SCHEDULES, mixing.SCHEDULES[::-1]):
+        mixed = mixing.mix(d, order=order, schedules=schedules).select("doc_id", F.explode("positions").alias("p")).orderBy("p", "place").collect()
+        got = [r.doc_id for r in mixing.repeated(d, order, schedules=schedules).collect()]
+        assert got == [r.doc_id for r in mixed]
+        orders.append(got)
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1])
+    stored = mixing.written(mixing.repeated(d, order), "mixed")
+    assert [r.doc_id for r in corpus_pipeline.tokens(spark, stored, DATA).collect()] == orders[0]
+
+
 def test_schedules_invert_their_integral(spark):
     for knots in mixing.SCHEDULES:
         for share in (0.0, 0.3, 0.75, 1.0):
