@@ -2,7 +2,7 @@
 
 The base rules read the text itself.  Then a worklist unwraps what is nested in it: percent-encoded and
 Unicode-escaped lines, base64 runs (standard and URL-safe, wrapped or not) and compressed blobs inside
-them (gzip, zlib, zstandard, bzip2, xz).  Each decoded layer is scanned by the same rules and unwrapped
+them (gzip, zlib, zstandard, bzip2, xz, several in a row too).  Lines of base64 are read as one blob and as several.  Each decoded layer is scanned by the same rules and unwrapped
 again until nothing new comes out; a layer that repeats one of its ancestors, or one already unwrapped
 at the same place, ends its branch.  Spans found in a layer are mapped to the code points of the text
 that they came from: exactly for escapes, by groups of four for base64, to the blob for compressed data.
@@ -47,6 +47,8 @@ UNPACKED, LAYERS = 1 << 24, 1 << 27
 #: Larger blobs are read in blocks: bytes of a block, and of its overlap with the next one; bytes unpacked in a step; compressions in each other that are looked through.
 BLOCK, OVERLAP, STEP, DEEP = 1 << 22, 1 << 20, 1 << 16, 64
 ROWS = 256
+#: The shortest line that is tried as a base64 blob.
+SHORTEST = 16
 
 Span = tuple[int, int, int]  # start, the kind's place in KINDS, end: the order of the result
 
@@ -186,39 +188,43 @@ def decompressor(head: bytes):
 
 
 def inflated(source: Source) -> Iterator[bytes]:
-    """A compressed blob's content in chunks of bounded size; nothing if it is none."""
-    out = decompressor(source.head(6))
-    if out is None:
-        return
-    limited = not type(out).__module__.startswith("zstandard")  # zstandard bounds no output: it gets little at a time
-    data = b""
-    while not out.eof:
-        if not data and getattr(out, "needs_input", True):
-            data = source.take(STEP if limited else 256)
-            if not data:
-                return
-        found = out.decompress(data, STEP) if limited else out.decompress(data)
-        data = getattr(out, "unconsumed_tail", b"")
-        if found:
-            yield found
+    """The content of compressed blobs that follow each other, in chunks of bounded size, an empty one behind each blob; nothing if there is none."""
+    while (out := decompressor(source.head(6))) is not None:
+        limited = not type(out).__module__.startswith("zstandard")  # zstandard bounds no output: it gets little at a time
+        data = b""
+        while not out.eof:
+            if not data and getattr(out, "needs_input", True):
+                data = source.take(STEP if limited else 256)
+                if not data:
+                    return
+            found = out.decompress(data, STEP) if limited else out.decompress(data)
+            data = getattr(out, "unconsumed_tail", b"")
+            if found:
+                yield found
+        source.ahead = out.unused_data + source.ahead
+        yield b""
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """A compressed blob's content; None if it is none."""
+def unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """The content of the compressed blobs that data begins with, and their bytes, 0 if the first has no end; None if there are none."""
     if decompressor(data[:6]) is None:
         return None
-    parts, size = [], 0
+    source, parts, size, whole, used = Source([data]), [], 0, 0, 0
     try:
-        for part in inflated(Source([data])):
+        for part in inflated(source):
             parts.append(part)
             size += len(part)
             if size > UNPACKED:
                 raise TooLarge(data)
+            if not part:
+                whole, used = len(parts), len(data) - len(source.ahead)
     except TooLarge:
         raise
-    except Exception:  # noqa: BLE001 - each library has errors of its own: not such a blob
-        return None
-    return b"".join(parts)
+    except Exception:  # noqa: BLE001 - each library has errors of its own: no further blob
+        if not whole:
+            return None
+        parts = parts[:whole]
+    return b"".join(parts), used
 
 
 def blocks(data: bytes) -> Iterator[bytes]:
@@ -265,36 +271,113 @@ def readable(data: bytes) -> str | None:
     return None if not text or re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) else text
 
 
-def blob_layer(layer: Layer, start: int, run: str) -> Layer | None:
-    """What a base64 run holds: text, or compressed text."""
+def six_bits(run: str) -> tuple[list[int], bytes | None]:
+    """The places of a base64 run's letters, and the bytes they stand for; None if it is no such run."""
     places = [i for i, c in enumerate(run) if c not in "\r\n="]
     body = "".join([run[i] for i in places])
     if ("-" in body or "_" in body) and ("+" in body or "/" in body):
-        return None
-    body = body[: len(body) - (len(body) % 4 == 1)]
+        return places, None
+    if len(body) % 4 == 1:
+        body = body[:-1]
+        places.pop()
     try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+        return places, base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except binascii.Error:
+        return places, None
+
+
+def packed_layer(layer: Layer, start: int, run: str) -> tuple[Layer | None, int] | None:
+    """The text in the compressed blobs that a base64 run begins with, and where they end in the run, 0 if they don't; None if there are none."""
+    places, data = six_bits(run)
+    if data is None or (found := unpacked(data)) is None:
         return None
-    end = start + len(run)
-    packed = unpacked(data)
-    if packed is not None:
-        while (inner := unpacked(packed)) is not None and inner != packed:
-            packed = inner
-        text = readable(packed)
-        return Layer(text, [(0, start, end)], layer) if text else None
-    text = readable(data)
+    packed, used = found
+    end = len(run) if used in (0, len(data)) else places[min((used * 8 + 5) // 6, len(places)) - 1] + 1
+    while (inner := unpacked(packed)) is not None and inner[0] != packed:
+        packed = inner[0]
+    text = readable(packed)
+    return Layer(text, [(0, start, start + end)], layer) if text else None, end if used else 0
+
+
+def text_layer(layer: Layer, start: int, run: str) -> Layer | None:
+    """The text that a base64 run holds."""
+    places, data = six_bits(run)
+    text = None if data is None else readable(data)
     if text is None:
         return None
     pieces, at, byte = [], 0, 0
     for c in text:  # byte i comes from six-bit units 4 i / 3 and on
         width = len(c.encode())
         a, b = byte * 4 // 3, ((byte + width) * 4 + 2) // 3
-        pieces.append((at, start + places[a], start + places[min(b, len(body)) - 1] + 1))
+        pieces.append((at, start + places[a], start + places[min(b, len(places)) - 1] + 1))
         at, byte = at + 1, byte + width
     return Layer(text, pieces, layer)
 
 
+def lines_of(run: str) -> list[tuple[int, int]]:
+    """The lines of a base64 run, from and to."""
+    out, at = [], 0
+    for line in run.split("\n"):
+        out.append((at, at + len(line.rstrip("\r"))))
+        at += len(line) + 1
+    return out
+
+
+def wrapped(lines: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Lines that may be one blob, from and to: lines of one length and a shorter one behind them."""
+    i = 0
+    while i < len(lines):
+        j, width = i + 1, lines[i][1] - lines[i][0]
+        while j < len(lines) and lines[j][1] - lines[j][0] == width:
+            j += 1
+        if j < len(lines) and lines[j][1] - lines[j][0] < width:
+            j += 1
+        yield lines[i][0], lines[j - 1][1]
+        i = j
+
+
+def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[int, int]]:
+    """What the blobs in a base64 run hold: it is one blob in lines, or has several, of a line or more each.
+
+    Compressed blobs may begin at each line and say where they end.  Text is sought in the whole run, in what looks
+    like a wrapped blob, and in each line, as a value that runs on into the next blob's text would hide that one's.
+    """
+    lines, packed, after = lines_of(run), set(), 0
+    for i, (a, b) in enumerate(lines):
+        head = six_bits(run[a : min(a + 8, b)])[1]
+        if a < after or head is None or decompressor(head) is None:
+            continue
+        n = 1
+        while True:  # twice the lines until the blobs end in them
+            to = lines[min(i + n, len(lines)) - 1][1]
+            try:
+                found = packed_layer(layer, start + a, run[a:to])
+            except TooLarge:
+                packed.add(a)
+                yield start + a, start + len(run)
+                for block in blocks(six_bits(run[a:])[1] or b""):
+                    part = readable(characters(block))
+                    if part:
+                        yield Layer(part, [(0, start + a, start + len(run))], layer)
+                break
+            if found and found[1] or i + n >= len(lines):
+                if found:
+                    packed.add(a)
+                    after = a + found[1]
+                    if found[0]:
+                        yield found[0]
+                break
+            n *= 2
+    tried = set()
+    for a, b in [(0, len(run)), *wrapped(lines), *lines]:
+        if a in packed or b - a < SHORTEST or (a, b) in tried:
+            continue
+        tried.add((a, b))
+        found = text_layer(layer, start + a, run[a:b])
+        if found:
+            yield found
+
+
 def children(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
     """The layers in a layer, and the places of blobs that are too large to be read whole."""
     text = layer.text
@@ -308,25 +391,7 @@ def children(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
                 yield found
             at = line[1]
     for m in _BASE64.finditer(text):
-        runs = [(m.start(), m[0])]
-        if "\n" in m[0]:
-            at = m.start()
-            for part in m[0].split("\n"):
-                runs.append((at, part.rstrip("\r")))
-                at += len(part) + 1
-        for start, run in runs:
-            try:
-                found = blob_layer(layer, start, run)
-            except TooLarge as large:
-                yield start, start + len(run)
-                for block in blocks(large.args[0]):
-                    part = readable(characters(block))
-                    if part:
-                        yield Layer(part, [(0, start, start + len(run))], layer)
-                break
-            if found:
-                yield found
-                break
+        yield from blob_layers(layer, m.start(), m[0])
 
 
 def unwound(text: str) -> tuple[list[Span], set[Span], int, set[tuple[int, int]]]:

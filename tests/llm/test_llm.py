@@ -1,8 +1,10 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, with their edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -123,6 +125,23 @@ def test_secrets_beside_and_inside_large_blobs(spark, monkeypatch):
     assert stopped and spans and "<undecoded>" in secrets.redacted(text, *secrets.unwound(text)[1::2])
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, bytes])
+def test_secrets_in_lists_of_blobs(pack):
+    for pad in range(3):  # lengths that need no '=', and others without it
+        blobs = [base64.urlsafe_b64encode(pack(b"%d harmless words" % i + b" " * pad)).decode().rstrip("=") for i in range(3)]
+        blobs += [base64.urlsafe_b64encode(pack(b"password = hunter%dhunter" % i + b" " * pad)).decode().rstrip("=") for i in range(2)]
+        text = "\n".join(blobs)
+        spans = secrets.scan(text)[1]
+        for blob in blobs[3:]:
+            at = text.index(blob)
+            assert any(at <= s and e <= at + len(blob) for s, _, e in spans), (pad, blob)
+        wide = "\n".join("\n".join(b[i : i + 20] for i in range(0, len(b), 20)) for b in blobs[2:])
+        if min(len(b) % 20 or 20 for b in blobs[2:]) >= 16:
+            assert secrets.scan(wide)[1]
+    both = base64.b64encode(pack(b"harmless words ") + pack(b"password = hunter2hunter2")).decode()
+    assert secrets.scan(both)[1]
+
+
 def test_quality_counts_by_brute_force(spark):
     for _, text in [*texts(spark), (0, "a a a a a a a a a"), (0, PROSE * 3)]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
