@@ -40,14 +40,14 @@ _WORDS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]{1,15})?={0,2}")
 
 #: A blob's largest size in bytes that is unpacked at once, and the most that is decoded of one run or line of a text.
 UNPACKED, LAYERS = 1 << 24, 1 << 27
 #: Larger blobs are read in blocks: bytes of a block, and of its overlap with the next one; bytes unpacked in a step; compressions in each other that are looked through.
 BLOCK, OVERLAP, STEP, DEEP = 1 << 22, 1 << 20, 1 << 16, 64
 ROWS = 256
-#: The shortest line that is tried as a base64 blob.
+#: The shortest line that is tried as a base64 blob; the last line of a wrapped one may be shorter.
 SHORTEST = 16
 
 Span = tuple[int, int, int]  # start, the kind's place in KINDS, end: the order of the result
@@ -369,7 +369,8 @@ def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[in
                 break
             n *= 2
     tried = set()
-    for a, b in [(0, len(run)), *wrapped(lines), *lines]:
+    whole = lines[:-1] if lines[-1][1] - lines[-1][0] < SHORTEST else lines  # a short last line may be the blob's or not
+    for a, b in [(0, len(run)), (0, whole[-1][1]), *wrapped(lines), *wrapped(whole), *lines]:
         if a in packed or b - a < SHORTEST or (a, b) in tried:
             continue
         tried.add((a, b))

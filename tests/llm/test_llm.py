@@ -142,6 +142,20 @@ def test_secrets_in_lists_of_blobs(pack):
     assert secrets.scan(both)[1]
 
 
+@pytest.mark.parametrize("width", [20, 64, 76])
+def test_secrets_at_the_end_of_wrapped_blobs(width):
+    for pack in (bytes, gzip.compress, bz2.compress, lzma.compress):
+        for pad in range(width):
+            data = pack(b" " * pad + b"some words and then a password = hunter2hunter2")
+            for blob in {base64.b64encode(data).decode(), base64.b64encode(data).decode().rstrip("=")}:
+                lines = "\n".join(blob[i : i + width] for i in range(0, len(blob), width))
+                text = f"see\n{lines}\nthe end"
+                spans = secrets.scan(text)[1]
+                end = 4 + len(lines.rstrip("="))
+                assert any(e >= end for _, _, e in spans), (pack, pad)
+                assert lines.rstrip("=")[-4:] not in secrets.redacted(text, spans)
+
+
 def test_quality_counts_by_brute_force(spark):
     for _, text in [*texts(spark), (0, "a a a a a a a a a"), (0, PROSE * 3)]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
