@@ -49,6 +49,10 @@ BLOCK, OVERLAP, STEP, DEEP = 1 << 22, 1 << 20, 1 << 16, 64
 ROWS = 256
 #: The shortest line that is tried as a base64 blob; the last line of a wrapped one may be shorter.
 SHORTEST = 16
+#: The shortest printable stretch of a layer that is no text throughout: a key of five characters, a sign and a value of six.
+STRETCH = 12
+_STRETCH, _WIDE = re.compile(rb"[\x20-\x7e]{%d}" % STRETCH), re.compile(rb"(?:[\x20-\x7e]\0){%d}" % STRETCH)
+_CONTROL, _SURROGATE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), re.compile(r"[\ud800-\udfff]")
 
 Span = tuple[int, int, int]  # start, the kind's place in KINDS, end: the order of the result
 
@@ -131,11 +135,9 @@ def substituted(layer: Layer, line: tuple[int, int], pattern: re.Pattern, decode
 
 
 def percent(run: str) -> list[tuple[str, int]] | None:
-    data = bytes.fromhex(run.replace("%", ""))
-    try:
-        return [(c, 3 * len(c.encode())) for c in data.decode()]
-    except UnicodeDecodeError:
-        return None
+    text = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
+    found = [(shown(c), 3 * width_of(c, 1)) for c in text]
+    return None if all(c == "\ufffd" for c, _ in found) else found
 
 
 def escape(run: str) -> list[tuple[str, int]] | None:
@@ -262,13 +264,39 @@ def characters(block: bytes) -> bytes:
     return block[first:]
 
 
-def readable(data: bytes) -> str | None:
-    """Text that a person or a program wrote: UTF-8 without control characters."""
+def readable(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """The texts in data, each with its first byte and its unit's bytes (1 for UTF-8, 2 for UTF-16).
+
+    UTF-8 without control characters is one, however short.  Else what has a stretch of STRETCH printable ASCII
+    characters is one: no rule finds anything in shorter ones.  Bytes that are no UTF-8 become U+FFFD.
+    """
     try:
         text = data.decode()
+        whole = not _CONTROL.search(text)
     except UnicodeDecodeError:
-        return None
-    return None if not text or re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) else text
+        whole = False
+    if whole:
+        if text:
+            yield text, 0, 1
+        return
+    if _STRETCH.search(data):
+        yield data.decode(errors="surrogateescape"), 0, 1
+    wide = data + b"\0"
+    if m := _WIDE.search(wide):  # big-endian text reads as little-endian from the next byte on
+        first = m.start() % 2
+        yield wide[first : len(wide) - (len(wide) - first) % 2].decode("utf-16-le", "surrogatepass"), first, 2
+
+
+def width_of(c: str, unit: int) -> int:
+    """A character's bytes; a byte that is no UTF-8 stands as a surrogate."""
+    if unit == 2:
+        return 4 if ord(c) > 0xFFFF else 2
+    return 1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode())
+
+
+def shown(text: str) -> str:
+    """The text with U+FFFD for surrogates."""
+    return _SURROGATE.sub("\ufffd", text)
 
 
 def six_bits(run: str) -> tuple[list[int], bytes | None]:
@@ -286,32 +314,31 @@ def six_bits(run: str) -> tuple[list[int], bytes | None]:
         return places, None
 
 
-def packed_layer(layer: Layer, start: int, run: str) -> tuple[Layer | None, int] | None:
-    """The text in the compressed blobs that a base64 run begins with, and where they end in the run, 0 if they don't; None if there are none."""
+def packed_layers(layer: Layer, start: int, run: str) -> tuple[list[Layer], int] | None:
+    """The texts in the compressed blobs that a base64 run begins with, and where they end in the run, 0 if they don't; None if there are none."""
     places, data = six_bits(run)
     if data is None or (found := unpacked(data)) is None:
         return None
     packed, used = found
     end = len(run) if used in (0, len(data)) else places[min((used * 8 + 5) // 6, len(places)) - 1] + 1
+    texts = list(readable(packed))
     while (inner := unpacked(packed)) is not None and inner[0] != packed:
         packed = inner[0]
-    text = readable(packed)
-    return Layer(text, [(0, start, start + end)], layer) if text else None, end if used else 0
+        texts += readable(packed)
+    return [Layer(shown(text), [(0, start, start + end)], layer) for text, _, _ in texts], end if used else 0
 
 
-def text_layer(layer: Layer, start: int, run: str) -> Layer | None:
-    """The text that a base64 run holds."""
+def text_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
+    """The texts that a base64 run holds."""
     places, data = six_bits(run)
-    text = None if data is None else readable(data)
-    if text is None:
-        return None
-    pieces, at, byte = [], 0, 0
-    for c in text:  # byte i comes from six-bit units 4 i / 3 and on
-        width = len(c.encode())
-        a, b = byte * 4 // 3, ((byte + width) * 4 + 2) // 3
-        pieces.append((at, start + places[a], start + places[min(b, len(places)) - 1] + 1))
-        at, byte = at + 1, byte + width
-    return Layer(text, pieces, layer)
+    for text, byte, unit in () if data is None else readable(data):
+        pieces = []
+        for at, c in enumerate(text):  # byte i comes from six-bit units 4 i / 3 and on
+            width = width_of(c, unit)
+            a, b = byte * 4 // 3, ((byte + width) * 4 + 2) // 3
+            pieces.append((at, start + places[min(a, len(places) - 1)], start + places[min(b, len(places)) - 1] + 1))
+            byte += width
+        yield Layer(shown(text), pieces, layer)
 
 
 def lines_of(run: str) -> list[tuple[int, int]]:
@@ -342,7 +369,7 @@ def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[in
     Compressed blobs may begin at each line and say where they end.  Text is sought in the whole run, in what looks
     like a wrapped blob, and in each line, as a value that runs on into the next blob's text would hide that one's.
     """
-    lines, packed, after = lines_of(run), set(), 0
+    lines, after = lines_of(run), 0
     for i, (a, b) in enumerate(lines):
         head = six_bits(run[a : min(a + 8, b)])[1]
         if a < after or head is None or decompressor(head) is None:
@@ -351,32 +378,26 @@ def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[in
         while True:  # twice the lines until the blobs end in them
             to = lines[min(i + n, len(lines)) - 1][1]
             try:
-                found = packed_layer(layer, start + a, run[a:to])
+                found = packed_layers(layer, start + a, run[a:to])
             except TooLarge:
-                packed.add(a)
                 yield start + a, start + len(run)
                 for block in blocks(six_bits(run[a:])[1] or b""):
-                    part = readable(characters(block))
-                    if part:
-                        yield Layer(part, [(0, start + a, start + len(run))], layer)
+                    for part, _, _ in readable(characters(block)):
+                        yield Layer(shown(part), [(0, start + a, start + len(run))], layer)
                 break
             if found and found[1] or i + n >= len(lines):
                 if found:
-                    packed.add(a)
                     after = a + found[1]
-                    if found[0]:
-                        yield found[0]
+                    yield from found[0]
                 break
             n *= 2
     tried = set()
     whole = lines[:-1] if lines[-1][1] - lines[-1][0] < SHORTEST else lines  # a short last line may be the blob's or not
     for a, b in [(0, len(run)), (0, whole[-1][1]), *wrapped(lines), *wrapped(whole), *lines]:
-        if a in packed or b - a < SHORTEST or (a, b) in tried:
+        if b - a < SHORTEST or (a, b) in tried:
             continue
         tried.add((a, b))
-        found = text_layer(layer, start + a, run[a:b])
-        if found:
-            yield found
+        yield from text_layers(layer, start + a, run[a:b])
 
 
 def children(layer: Layer) -> Iterator[Layer | tuple[int, int]]:

@@ -156,6 +156,19 @@ def test_secrets_at_the_end_of_wrapped_blobs(width):
                 assert lines.rstrip("=")[-4:] not in secrets.redacted(text, spans)
 
 
+def test_secrets_in_layers_that_are_no_text_throughout():
+    line = "some words, then password = hunter2hunter2 and more"
+    for data in (line.encode("utf-16"), line.encode("utf-16-be"), f"é{line}".encode("latin-1"), f"\x1b[0m\0{line}".encode(), bytes(range(256)) + line.encode() + bytes(range(256)), b"\xff api_key=abcdef \xff", b"\xff token=abcdef \xff"):
+        for pack in (bytes, gzip.compress):
+            text = "x " + base64.b64encode(pack(data)).decode()
+            assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), (data, pack)
+    text = "x " + base64.b64encode(f"é{line}".encode("latin-1")).decode()
+    (s, k, e), = secrets.scan(text)[1]
+    assert (s, e) == (2 + 18 * 4 // 3, 2 + (18 + 25) * 4 // 3 + 1)
+    assert secrets.scan("%FF" + urllib.parse.quote("password = hunter2hunter2").replace("o", "%6F"))[1]
+    assert secrets.scan(base64.b64encode(gzip.compress(gzip.compress(b"words") + b" password = hunter2hunter2")).decode())[1]
+
+
 def test_quality_counts_by_brute_force(spark):
     for _, text in [*texts(spark), (0, "a a a a a a a a a"), (0, PROSE * 3)]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
