@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +20,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\r\x0b\x0c"
 
+#: Bytes of text that are worked on together, but for single texts that are longer.
+LOT_BYTES = 1 << 20
+
 _made: list[tuple[weakref.ref, str]] = []
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +55,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table_
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table made by written()."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def lots(batches: Batches, column: int, rows: int) -> Batches:
+    """The batches in slices of at most so many rows, and LOT_BYTES of a column of texts or bytes unless one value has more."""
+    for whole in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + LOT_BYTES, side="right"))))
+            yield whole.slice(at, to - at)
+            at = to
+
+
+def released() -> None:
+    """Gives memory that nothing uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function whose worker collects no cycles meanwhile, and gives its memory back when the task ends: workers serve many stages."""
+
+    def task(batches: Batches) -> Batches:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            released()
+
+    return task
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

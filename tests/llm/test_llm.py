@@ -312,6 +312,44 @@ def test_jaccard_by_brute_force(spark, size, num):
     assert got == brute_components(rows, size, num, 100)
 
 
+def test_jaccard_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Near copies around the threshold: links equal brute force, and the pairs to verify stay in proportion to the copies."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(150)]
+    seen = {}
+    for n in (100, 200, 400):
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            for _ in range(r.randrange(6)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**9)}"
+            rows.append((i, " ".join(copy)))
+        counts = []
+        checked = jaccard.verified
+        monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: counts.append(pairs.count()) or checked(pairs, *rest))
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        monkeypatch.setattr(jaccard, "verified", checked)
+        assert got == brute_components(rows, 4, 85, 100)
+        seen[n] = sum(counts)
+    assert seen[400] < 6 * 400, seen
+
+
+def test_jaccard_names_shared_by_two_digests():
+    found = jaccard.shingles(PROSE.encode(), 4)
+    first, second = jaccard.digest(found)
+    assert (jaccard.node_name(found, frozenset()), jaccard.node_name(found, frozenset([first]))) == (first, second)
+
+
+def test_word_hashes_of_any_cut():
+    r = random.Random(2)
+    lots = ["".join(r.choice("aB \n\tcé😀") for _ in range(r.randrange(200))) + "z" * r.randrange(200) for _ in range(60)] + ["", "a", " "]
+    whole = jaccard.shingle_sets(__import__("pyarrow").array([t.encode() for t in lots]), 3)
+    for t, s in zip(lots, whole, strict=True):
+        assert (jaccard.shingles(t.encode(), 3) == s).all()
+        w = t.translate(str.maketrans(urls.UPPER, urls.LOWER)).split()
+        assert len(s) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) * bool(w)
+
+
 def test_language_on_held_out_documents(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     model = language.train(d, "text", "lang", crc_mod("doc_id", 4) != 2)
