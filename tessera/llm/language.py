@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean, lots
+
 #: Dimensions, letters of an n-gram, n-grams whose vectors a worker keeps.
 DIMENSIONS, GRAM, KEPT = 512, 3, 1 << 15
 #: Rows, and n-grams, that are worked on together.
@@ -119,17 +121,15 @@ def train(df: DataFrame, text_col: str, lang_col: str, chosen: Column) -> Protot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                lang, found = np.array(batch.column(1).to_pylist(), object), profiles(batch.column(0).to_pylist())
-                for name in set(lang):
-                    sums[name] = sums.get(name, 0) + found[lang == name].astype(np.float64).sum(axis=0)
+        for batch in lots(batches, 0, ROWS):
+            lang, found = np.array(batch.column(1).to_pylist(), object), profiles(batch.column(0).to_pylist())
+            for name in set(lang):
+                sums[name] = sums.get(name, 0) + found[lang == name].astype(np.float64).sum(axis=0)
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(np.round(v * 1e6).astype(np.int64))], ["l", "d", "v"])
 
     # Whole millionths: their sums don't depend on the order of the tasks.
-    rows = kept.mapInArrow(run, "l string, d int, v long").groupBy("l", "d").agg(F.sum("v").alias("v")).toArrow()
+    rows = kept.mapInArrow(lean(run), "l string, d int, v long").groupBy("l", "d").agg(F.sum("v").alias("v")).toArrow()
     langs = sorted(set(rows["l"].to_pylist()))
     matrix = np.zeros((len(langs), DIMENSIONS))
     place = {name: i for i, name in enumerate(langs)}
@@ -141,21 +141,19 @@ def identify(df: DataFrame, prototypes: Prototypes, id_col: str = "doc_id", text
     """(id, the extra columns, lang_pred, score) of each row; score is the cosine, or 0 if that is below."""
     kept = df.select(id_col, *[c.alias(n) for n, c in (extra or {}).items()], F.col(text_col).alias("__text"))
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(prototypes)
+    shared, text_at = df.sparkSession.sparkContext.broadcast(prototypes), len(kept.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                found = profiles(batch.column(batch.num_columns - 1).to_pylist())
-                some = found.any(axis=1) & (len(model.langs) > 0)
-                best, score = np.zeros(len(found), int), np.zeros(len(found))
-                if model.langs:
-                    cosine = (found @ model.matrix.T).astype(np.float64)
-                    best = cosine.argmax(axis=1)
-                    score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-                names = [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], schema.names)
-
-    return kept.mapInArrow(run, schema)
+        for batch in lots(batches, text_at, ROWS):
+            found = profiles(batch.column(batch.num_columns - 1).to_pylist())
+            some = found.any(axis=1) & (len(model.langs) > 0)
+            best, score = np.zeros(len(found), int), np.zeros(len(found))
+            if model.langs:
+                cosine = (found @ model.matrix.T).astype(np.float64)
+                best = cosine.argmax(axis=1)
+                score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
+            names = [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], schema.names)
+
+    return kept.mapInArrow(lean(run), schema)

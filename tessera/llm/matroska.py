@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean, lots
+
 # Fixed values of the format: element ids.
 EBML, VOID, CRC32 = 0x1A45DFA3, 0xEC, 0xBF
 SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -316,13 +318,11 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kept = df.select(id_col, F.col(text_col).cast("binary").alias("__bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                data = [x or b"" for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([mux(padded(x)) for x in data], pa.binary())], [id_col, "n_bytes", "media"])
+        for batch in lots(batches, 1, ROWS):
+            data = [x or b"" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([mux(padded(x)) for x in data], pa.binary())], [id_col, "n_bytes", "media"])
 
-    return kept.mapInArrow(run, T.StructType([kept.schema[0], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return kept.mapInArrow(lean(run), T.StructType([kept.schema[0], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 PACKETS = "track int, cluster int, block int, lace int, timestamp_ns long, keyframe boolean, byte_offset long, byte_size long"
@@ -335,16 +335,14 @@ def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     types = [pa.int32()] * 4 + [pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                found = [parse(x).packets for x in batch.column(1).to_pylist()]
-                rows = [p for ps in found for p in ps]
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(ps) for ps in found])))
-                names = ("track", "cluster", "block", "lace", "timestamp_ns", "keyframe", "offset", "size")
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(p, n) for p in rows], t) for n, t in zip(names, types, strict=True))], schema.names)
+        for batch in lots(batches, 1, ROWS):
+            found = [parse(x).packets for x in batch.column(1).to_pylist()]
+            rows = [p for ps in found for p in ps]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(ps) for ps in found])))
+            names = ("track", "cluster", "block", "lace", "timestamp_ns", "keyframe", "offset", "size")
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(p, n) for p in rows], t) for n, t in zip(names, types, strict=True))], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -367,10 +365,8 @@ def read_back(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data or b""), hashlib.sha256(data or b"").hexdigest(), feature, media.error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = [of(x) for x in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], schema.names)
+        for batch in lots(batches, 2, ROWS):
+            rows = [of(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)

@@ -2,29 +2,32 @@
 
 No piece of the models this accepts holds a whitespace marker after another character (checked when
 the model is loaded), so no merge crosses the start of a marked word: a text is the concatenation of
-its marked words, and so are its ids.  Each Arrow batch builds the table of its distinct marked words,
-segments each of them once (words already segmented by this worker are taken from a bounded table),
-and joins ids and decoded surfaces back by position.
+its marked words, and so are its ids.  Each task builds the table of its distinct marked words, lot by
+lot, segments each of them once (a table beyond TABLE_BYTES is begun anew), and joins ids and decoded
+surfaces back by position.  The table goes when the task ends.
 
 Defined results: a null or empty text has the end id alone and decodes to the empty text; repeated
-rows give repeated results; other columns of the input are not read, whatever their names.
+rows give repeated results; texts of any length are segmented whole, a very long one in a lot of its own; a
+word has one segmentation, so ties don't arise; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import lean, lots
+
 MARK = "▁"
-#: Words of a worker's table, besides those of the rows at hand: this bounds its memory.
-TABLE_WORDS = 800_000
+#: Bytes of a task's table, besides the words of the lot at hand, and those that an entry has beside its word and ids.
+TABLE_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Rows that are worked on together.
 ROWS = 256
 
@@ -32,7 +35,7 @@ _CHUNK = re.compile(" +[^ ]*")
 
 
 class ChunkTable:
-    """Distinct marked words of a model, each without its first marker, with their ids in decimal and, where it differs, their decoded surface."""
+    """Distinct marked words of a model, each without its first marker, with their ids and, where it differs, their decoded surface."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -49,8 +52,12 @@ class ChunkTable:
         self.plain = [bytes([int(self.sp.id_to_piece(i)[3:5], 16)]) if self.sp.is_byte(i) else None if self.sp.is_control(i) or self.sp.is_unknown(i) else self.sp.id_to_piece(i).replace(MARK, " ").encode() for i in size]
         self.eos = self.sp.eos_id()
         self.mark = self.sp.piece_to_id(MARK)
-        self.ids: dict[str, str] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, str | bytes] = {}
         self.surface: dict[str, str] = {}
+        self.size = 0
 
     def words(self, text: str) -> list[str]:
         """The text's marked words without the marker that begins each (the first word's is the model's own); further markers stay, as blanks."""
@@ -60,16 +67,21 @@ class ChunkTable:
             return [w[1:] for w in _CHUNK.findall(" " + text)]
         return text.split(" ") if text else []
 
-    def segment(self, distinct: set[str]) -> None:
-        """Segments those words that the table lacks.  A table beyond its bound is begun anew first."""
+    def segment(self, distinct: set[str], decimal: bool) -> None:
+        """Segments those words that the table lacks, ids in decimal or as 32-bit numbers.  A table beyond its bound is begun anew first."""
         missing = [w for w in distinct if w not in self.ids]
-        if len(self.ids) + len(missing) > TABLE_WORDS:
-            self.ids, self.surface, missing = {}, {}, list(distinct)
+        if missing and self.size > TABLE_BYTES:
+            self.clear()
+            missing = list(distinct)
         if not missing:
             return
-        decimal, plain = self.decimal, self.plain
+        names, plain = self.decimal, self.plain
         for w, ids in zip(missing, self.sp.encode(missing, num_threads=1), strict=True):
-            self.ids[w] = " ".join([decimal[i] for i in ids]) if w else decimal[self.mark]  # a marker alone has an empty rest
+            ids = ids if w else [self.mark]  # a marker alone has an empty rest
+            self.ids[w] = found = " ".join([names[i] for i in ids]) if decimal else array("i", ids).tobytes()
+            self.size += ENTRY_BYTES + len(w) + len(found)
+            if not w:
+                continue
             try:
                 back = b"".join([plain[i] for i in ids]).decode()[1:]
             except (TypeError, UnicodeDecodeError):
@@ -77,19 +89,27 @@ class ChunkTable:
             if back != w:
                 self.surface[w] = back
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text: its number of ids, the ids in decimal, both with the end id, and the decoded text."""
+    def encode(self, texts: list[str], decimal: bool) -> Iterator[tuple[int, str | bytes, str]]:
+        """For each text: its number of ids, the ids, in decimal or as 32-bit numbers, both with the end id, and the decoded text.
+
+        The table holds ids of one of the two forms; clear() comes between them.
+        """
         split = [self.words(t) for t in texts]
-        self.segment(set().union(*split))
-        ids, surface, end = self.ids, self.surface, f" {self.eos}"
+        self.segment(set().union(*split), decimal)
+        ids, surface = self.ids, self.surface
         for words in split:
-            decimal = " ".join([ids[w] for w in words]) + end if words else end[1:]
-            yield decimal.count(" ") + 1, decimal, " ".join([surface.get(w, w) for w in words] if surface else words)
+            if decimal:
+                found = " ".join([ids[w] for w in words] + [str(self.eos)])
+                n = found.count(" ") + 1
+            else:
+                found = b"".join([ids[w] for w in words] + [array("i", [self.eos]).tobytes()])
+                n = len(found) // 4
+            yield n, found, " ".join([surface.get(w, w) for w in words] if surface else words)
 
 
 @functools.cache
 def chunk_table(model: str) -> ChunkTable:
-    """One table for all tasks of a worker."""
+    """A worker's model; its tasks empty the table as they end."""
     return ChunkTable(model)
 
 
@@ -108,19 +128,18 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of strings and no cycles
         table = chunk_table(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = list(table.encode([t or "" for t in batch.column(1).to_pylist()]))
-                n = [r[0] for r in rows]
-                if full:
-                    ids = np.array(" ".join([r[1] for r in rows]).split(" ") if rows else [], np.int32)
-                    a = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids))
-                    b = pa.array([r[2] for r in rows], pa.string())
-                else:
-                    a, b = (pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), a, b], [f.name for f in fields])
-
-    return kept.mapInArrow(run, T.StructType(fields))
+        table.clear()
+        for batch in lots(batches, 1, ROWS):
+            rows = list(table.encode([t or "" for t in batch.column(1).to_pylist()], not full))
+            n = [r[0] for r in rows]
+            if full:
+                ids = np.frombuffer(b"".join([r[1] for r in rows]), np.int32)
+                a = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids))
+                b = pa.array([r[2] for r in rows], pa.string())
+            else:
+                a, b = (pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), a, b], [f.name for f in fields])
+        table.clear()
+
+    return kept.mapInArrow(lean(run), T.StructType(fields))

@@ -17,7 +17,6 @@ stand there; an empty table gives no rows; other columns of the input are not re
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SPACES, written
+from tessera.llm.common import SPACES, lean, lots, written, written_bytes
 
 SYMBOLS = "#*$%&|<>"
 #: Words of a window; base rules: the fewest words, and the most repeated ones in a hundred.
 WINDOW, FEWEST, REPEATED = 8, 20, 30
-#: Documents that a group needs for thresholds of its own; interquartile ranges that a fence lies off; groups up to which thresholds are broadcast.
-LEAST, FENCE, FEW_GROUPS = 50, 3, 50_000
+#: Documents that a group needs for thresholds of its own; interquartile ranges that a fence lies off; bytes of the thresholds' table up to which it is broadcast.
+LEAST, FENCE, FEW_BYTES = 50, 3, 8 << 20
 #: The measures: name, expression over the counts, the least range that counts, whether low values fail too.
 MEASURES = (
     ("word_length", "100 * word_chars div n_words", 100, True),
@@ -81,14 +80,11 @@ def counted(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string(COUNTS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = np.array([counts(t or "") for t in batch.column(3).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in rows.T)], schema.names)
+        for batch in lots(batches, 3, ROWS):
+            rows = np.array([counts(t or "") for t in batch.column(3).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in rows.T)], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def base_failed() -> Column:
@@ -144,7 +140,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     key = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c)))
     rows = written(counted(df, id_col, text_col, lang_col, source_col), "counts").withColumns({"lang_key": key("lang"), "source_key": key("source")})
     fences = written(thresholds(sketched(rows), rows.select("lang_key", "source_key").distinct()), "fences")
-    joined = rows.join(F.broadcast(fences) if fences.count() <= FEW_GROUPS else fences, ["lang_key", "source_key"], "left")
+    joined = rows.join(F.broadcast(fences) if written_bytes(fences) <= FEW_BYTES else fences, ["lang_key", "source_key"], "left")
     passes = F.lit(True)
     for i, (_, expression, _, low) in enumerate(MEASURES):
         value = F.when(base_failed(), F.lit(0)).otherwise(F.expr(f"case when n_words > 0 and n_lines > 0 then {expression} else 0 end"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean, lots
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -490,13 +492,11 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), layers, stopped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = [of(x) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], schema.names)
+        for batch in lots(batches, 1, ROWS):
+            rows = [of(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -504,16 +504,14 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     at, length_at = df.columns.index(text_col), df.columns.index(length_col) if length_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(first, ROWS)
-                texts = batch.column(at).to_pylist()
-                clean = [t if t is None else redacted(t, *unwound(t)[1::2]) for t in texts]
-                columns = list(batch.columns)
-                columns[at] = pa.array(clean, columns[at].type)
-                if length_at is not None:
-                    sizes = columns[length_at].to_pylist()
-                    columns[length_at] = pa.array([n if c == t else len(c) for n, t, c in zip(sizes, texts, clean, strict=True)], columns[length_at].type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+        for batch in lots(batches, at, ROWS):
+            texts = batch.column(at).to_pylist()
+            clean = [t if t is None else redacted(t, *unwound(t)[1::2]) for t in texts]
+            columns = list(batch.columns)
+            columns[at] = pa.array(clean, columns[at].type)
+            if length_at is not None:
+                sizes = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([n if c == t else len(c) for n, t, c in zip(sizes, texts, clean, strict=True)], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(lean(run), df.schema)

@@ -25,7 +25,6 @@ columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import lean, lots, written
 
 #: Bytes of an anchor (a power of two) and windows of a block.
 ANCHOR, BLOCK = 64, 8
@@ -80,11 +79,8 @@ def name(data: bytes, seed: int = 0) -> int:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    gc.disable()
-    for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(at, ROWS)
-            yield batch, [x or b"" for x in batch.column(column).to_pylist()]
+    for batch in lots(batches, column, ROWS):
+        yield batch, [x or b"" for x in batch.column(column).to_pylist()]
 
 
 def emitted(columns: list, names: list[str]) -> pa.RecordBatch:
@@ -118,7 +114,7 @@ def named_runs(docs: DataFrame, length: int) -> DataFrame:
                     contexts.append(np.array([name(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.int64))
             yield emitted([anchors, contexts], ["anchor", "context"])
 
-    return docs.mapInArrow(run, "anchor long, context long")
+    return docs.mapInArrow(lean(run), "anchor long, context long")
 
 
 def parted(rows: DataFrame, keys: list[str], content: str, weight: str | None = None) -> DataFrame:
@@ -182,7 +178,7 @@ def found_spans(docs: DataFrame, length: int) -> DataFrame:
 
     schema = "kind long, d1 long, d2 long, anchor long, context long, first long, last long, at long, core long, content long, n long"
     # kind 0: runs; kind 1: blocks, whose first, last and at are the block's number and its windows' least and greatest distance.
-    rows = written(docs.mapInArrow(located, schema).join(anchors, "anchor"), "runs")
+    rows = written(docs.mapInArrow(lean(located), schema).join(anchors, "anchor"), "runs")
     placed = rows.where("kind = 0").select("d1", "d2", "anchor", "context", "first", "last", "at", "differ")
     whole = placed.where(~F.col("differ")).select("d1", "d2", "first", "last")
     block = rows.where("kind = 1 and differ").select("anchor", "context", F.col("first").alias("q"), F.col("last").alias("r1"), F.col("at").alias("r2"), "core", "content", "n")
@@ -228,9 +224,9 @@ def windows(docs: DataFrame, rest: DataFrame, length: int) -> DataFrame:
             part = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["anchor", "context", "r", "window", "n"])
 
-    pieces = docs.mapInArrow(contexts, "anchor long, context long, off long, piece binary")
+    pieces = docs.mapInArrow(lean(contexts), "anchor long, context long, off long, piece binary")
     with_bytes = rest.join(pieces, ["anchor", "context"]).dropDuplicates(["anchor", "context"]).select("anchor", "context", "n", "blocks", "off", "piece")
-    each = written(with_bytes.mapInArrow(single, "anchor long, context long, r long, window long, n long"), "windows")
+    each = written(with_bytes.mapInArrow(lean(single), "anchor long, context long, r long, window long, n long"), "windows")
     repeated = each.groupBy("anchor", "r", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "r", "window")
     return each.join(repeated, ["anchor", "r", "window"]).select("anchor", "context", F.col("r").alias("r1"), F.col("r").alias("r2"))
 
@@ -254,7 +250,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = df.schema[id_col].dataType.simpleString()
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
-    def lots(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.Array, list[bytes], list[tuple[int, int]]]]:
+    def chosen_rows(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.Array, list[bytes], list[tuple[int, int]]]]:
         """Ids, texts and digests of the rows that may lose bytes, or of those that surely don't."""
         for batch, texts in texts_of(batches, 1):
             d = [digest(x) for x in texts]
@@ -263,30 +259,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch.column(0).take(pa.array(at)), [texts[i] for i in at], [d[i] for i in at]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _ in lots(batches, False):
+        for ids, texts, _ in chosen_rows(batches, False):
             n = len(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([[]] * n, kinds[2]), pa.array(texts, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, d in lots(batches, True):
+        for ids, texts, d in chosen_rows(batches, True):
             yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1))], ["id", "bytes", "d1", "d2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = []
-                for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    gone = merged([(s["start"], s["end"]) for s in found or []])
-                    edges = [0, *(x for span in gone for x in span), len(data)]
-                    rows.append((len(data), sum(b - a for a, b in gone), gone, b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])))
-                columns = [[r[0] for r in rows], [r[1] for r in rows], [[{"start": a, "end": b} for a, b in r[2]] for r in rows], [r[3] for r in rows]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "spans", "kept"])
+        for batch in lots(batches, 1, ROWS):
+            rows = []
+            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                gone = merged([(s["start"], s["end"]) for s in found or []])
+                edges = [0, *(x for span in gone for x in span), len(data)]
+                rows.append((len(data), sum(b - a for a, b in gone), gone, b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])))
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [[{"start": a, "end": b} for a, b in r[2]] for r in rows], [r[3] for r in rows]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes"))
-    hit = rows.mapInArrow(keyed, f"id {id_type}, bytes binary, d1 long, d2 long").join(spans, ["d1", "d2"], "left").select("id", "bytes", "spans")
+    hit = rows.mapInArrow(lean(keyed), f"id {id_type}, bytes binary, d1 long, d2 long").join(spans, ["d1", "d2"], "left").select("id", "bytes", "spans")
     out = f"id {id_type}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return rows.mapInArrow(whole, out).union(hit.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(whole), out).union(hit.mapInArrow(lean(cut), out)).withColumnRenamed("id", id_col)
 
 
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:

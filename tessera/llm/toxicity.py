@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean, lots, released
+
 #: Decay of the kernel by letter spanned, classes of letters, longest string; longer words are read in windows of this that overlap by half.
 DECAY, LETTERS, LONGEST = 0.6, 64, 24
 #: Labelled documents of each kind that training uses at most, the ones with the lowest md5 of their ids.
@@ -46,7 +48,7 @@ TELLING, RATIO = 4.0, 10.0
 #: Words mapped at once, and words of clean documents that training uses for their likeness to landmarks.
 LOT, HARD = 8_192, 60_000
 #: Rows that are worked on together, and words whose values a task keeps.
-ROWS, KNOWN = 128, 500_000
+ROWS, KNOWN = 128, 300_000
 
 _LOOKS = str.maketrans("013457@$", "oieastas")  # fixed: which letters these are drawn for
 _LOOK = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])")
@@ -62,19 +64,22 @@ def plain(token: str) -> str:
     return _NOT_LETTER.sub("", _LOOK.sub(lambda m: m[0].translate(_LOOKS), low))
 
 
-_plain: dict[str, str] = {}
+class Plain(dict):
+    """Letters of tokens, kept up to a bound."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        word = self[token] = plain(token)
+        return word
 
 
-def strings(text: str) -> set[str]:
+def strings(text: str, known: Plain | None = None) -> set[str]:
     """The distinct strings of a text, of three letters at least; single letters in a row are joined."""
+    known = Plain() if known is None else known
     out, spelt = set(), []
-    tokens = text.split()
-    if len(_plain) > 400_000:
-        _plain.clear()
-    for token in tokens:
-        word = _plain.get(token)
-        if word is None:
-            word = _plain[token] = plain(token)
+    for token in text.split():
+        word = known[token]
         if len(word) == 1:
             spelt.append(word)
             continue
@@ -152,8 +157,9 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     for at, lot in by_length(words):
         keys, weight = subsequences(lot)
         scale = norms(keys, weight)
-        for i in range(0, len(lot), 64):
-            out[at[i : i + 64]] = np.einsum("wsl,s->wl", table[index[keys[i : i + 64]]], weight, optimize=True)
+        step = max(1, 2_000_000 // (len(weight) * len(landmarks)))  # 16 MB
+        for i in range(0, len(lot), step):
+            out[at[i : i + step]] = np.einsum("wsl,s->wl", table[index[keys[i : i + step]]], weight, optimize=True)
         out[at] /= scale[:, None]
     return out
 
@@ -278,18 +284,17 @@ def fit_places(words: list[str], inside: list[np.ndarray], toxic: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the chosen labels; `chosen` reads the id column of the labels."""
     known = labels.where(chosen & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
-    lots = [known.where((F.col("toxic") == 1) == flag).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(n) for flag, n in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
-    used = lots[0].union(lots[1])
+    halves = [known.where((F.col("toxic") == 1) == flag).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(n) for flag, n in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
+    used = halves[0].union(halves[1])
     texts = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(used), id_col)  # at most TOXIC_ROWS + CLEAN_ROWS ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                found = [sorted(strings(t or "")) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "strings"])
+        known = Plain()
+        for batch in lots(batches, 1, ROWS):
+            found = [sorted(strings(t or "", known)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "strings"])
 
-    rows = texts.select(F.col("toxic").cast("int"), "__text").mapInArrow(run, "toxic int, strings array<string>").toArrow()
+    rows = texts.select(F.col("toxic").cast("int"), "__text").mapInArrow(lean(run), "toxic int, strings array<string>").toArrow()
     # Words as places in the sorted list of distinct words; documents in an order that the tasks' order doesn't change.
     strings_ = rows["strings"].combine_chunks()
     coded = strings_.flatten().dictionary_encode()
@@ -301,7 +306,12 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc
     toxic = rows["toxic"].to_numpy() == 1
     inside = [np.sort(codes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     turn = sorted(range(len(inside)), key=lambda i: (inside[i].tobytes(), toxic[i]))
-    return fit_places(names[order].tolist(), [inside[i] for i in turn], toxic[turn])
+    words, bags = names[order].tolist(), [inside[i] for i in turn]
+    del rows, strings_, coded, names, codes, rank, inside
+    model = fit_places(words, bags, toxic[turn])
+    del words, bags
+    released()
+    return model
 
 
 RESULT = "score double, predicted int"
@@ -312,23 +322,21 @@ def classify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     kept = df.select(*keep, F.col(text_col).alias("__toxicity_text"))
     fields = kept.schema.fields[:-1]
     schema = T.StructType(fields if only is not None else [*fields, *T._parse_datatype_string(RESULT).fields])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, text_at = df.sparkSession.sparkContext.broadcast(model), len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, value = shared.value, {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                bags = [strings(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-                words = [] if model.empty else sorted(set().union(*bags).difference(value))
-                if len(value) + len(words) > KNOWN:
-                    value, words = {}, sorted(set().union(*bags))
-                value.update(zip(words, model.values(words).tolist() if words else [], strict=True))
-                score = model.scores(np.array([-1.0 if model.empty else max([value[w] for w in bag], default=-1.0) for bag in bags]))
-                said = (score >= 0.5).astype(np.int32)
-                if only is None:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(said)], schema.names)
-                else:
-                    yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names).filter(pa.array(said == only))
-
-    return kept.mapInArrow(run, schema)
+        model, value, known = shared.value, {}, Plain()
+        for batch in lots(batches, text_at, ROWS):
+            bags = [strings(t or "", known) for t in batch.column(text_at).to_pylist()]
+            words = [] if model.empty else sorted(set().union(*bags).difference(value))
+            if len(value) + len(words) > KNOWN:
+                value, words = {}, sorted(set().union(*bags))
+            value.update(zip(words, model.values(words).tolist() if words else [], strict=True))
+            score = model.scores(np.array([-1.0 if model.empty else max([value[w] for w in bag], default=-1.0) for bag in bags]))
+            said = (score >= 0.5).astype(np.int32)
+            if only is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(said)], schema.names)
+            else:
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names).filter(pa.array(said == only))
+
+    return kept.mapInArrow(lean(run), schema)
