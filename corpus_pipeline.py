@@ -14,31 +14,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, pieces, secrets, toxicity
-from tessera.llm.common import crc_mod, table, written
+from tessera.llm.common import crc_mod, table, written, written_bytes
 from tessera.llm.queries import model_path
 
 #: The near-duplicate stage: words of a shingle, and the least similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
-#: Documents that leave up to which their row keys are broadcast, some 50 bytes each; beyond, the rows are joined.
-FEW_ROWS = 1 << 20
+#: Bytes of the table of row keys that leave up to which it is broadcast; beyond, the rows are joined.
+FEW_BYTES = 8 << 20
 _ID = "__pipeline_row"
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds a key of each row, equal rows apart, that sorts by doc_id, nulls last: file and place within it where Spark knows them."""
-    first = F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
-
-    def key(*place: Column) -> Column:
-        return F.struct(*first, *place)
+    """Adds a key of each row, equal rows apart, that sorts by doc_id, nulls last: then a 64-bit hash of the row's file, and its place there.
 
+    Rows that aren't read from files are written first, so that the key is the same wherever it is read.
+    """
+    first = F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
+    key = F.struct(*first, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
-        return docs.withColumn(_ID, key(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
-    except AnalysisException:  # not read from files
-        return docs.withColumn(_ID, key(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+        return docs.withColumn(_ID, key)
+    except AnalysisException:
+        return written(docs, "rows").withColumn(_ID, key)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = with_row_id(docs)
     found = jaccard.jaccard_components(keyed, _ID, "text", size=SHINGLE, num=SIMILAR, den=100)
     leaves = written(found.where(F.col(_ID) != F.col("component_id")).select(_ID), "leaves")
-    return keyed.join(F.broadcast(leaves) if leaves.count() <= FEW_ROWS else leaves, _ID, "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(leaves) if written_bytes(leaves) <= FEW_BYTES else leaves, _ID, "left_anti").select(*docs.columns)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
