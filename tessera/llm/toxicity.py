@@ -255,7 +255,9 @@ def fit_places(words: list[str], inside: list[np.ndarray], toxic: np.ndarray) ->
     words, bad, good, lift, telling = [words[i] for i in used], bad[used], good[used], lift[used], telling[used]
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    mapped = np.concatenate([(kernel(words[i : i + LOT], chosen) @ root).astype(np.float32) for i in range(0, len(words), LOT)])
+    mapped = np.empty((len(words), len(chosen)), np.float32)
+    for i in range(0, len(words), LOT):
+        mapped[i : i + LOT] = kernel(words[i : i + LOT], chosen) @ root
     seen_good = np.flatnonzero((good > 0) & ~telling)
     value, counts = np.where(telling, 1.0, -1.0), bad
     w = np.zeros(mapped.shape[1] + 1)
@@ -267,7 +269,7 @@ def fit_places(words: list[str], inside: list[np.ndarray], toxic: np.ndarray) ->
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(seen_good))])
         share = np.concatenate([counts[yes] / counts[yes].sum(), good[seen_good] / good[seen_good].sum()])
         w = machine(mapped, np.concatenate([yes, seen_good]), y, share * len(y) * 0.5)
-        value = mapped @ w[:-1] + w[-1]
+        value = np.concatenate([mapped[i : i + LOT] @ w[:-1] for i in range(0, len(words), LOT)]) + w[-1]  # whole, numpy would copy it as doubles
         witness = [b[np.argmax(value[b])] for b, t in zip(inside, toxic, strict=True) if t and len(b)]
         counts = np.bincount(witness, minlength=len(words))
     highest = np.array([value[b].max() if len(b) else -1.0 for b in inside])
