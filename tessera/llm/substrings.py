@@ -187,26 +187,27 @@ def found_spans(docs: DataFrame, length: int) -> DataFrame:
     rest = cores.where("differ").groupBy("anchor", "context").agg(F.collect_set(F.struct("r1", "r2")).alias("blocks"), F.sum("n").alias("n"))  # at most a run's blocks
     # Each task counts a context once for each of its blocks.
     rest = written(rest.withColumn("n", F.expr("n div size(blocks)")), "blocks")
-    single = windows(docs, rest, length)
-    inside = placed.where("differ").join(same.union(single).distinct(), ["anchor", "context"])
+    several = placed.where("differ")
+    single = windows(docs, rest, several.join(rest.select("anchor", "context"), ["anchor", "context"]).groupBy("anchor", "context").agg(F.min("d1").alias("d1")), length)
+    # A run is shorter than a window, so all windows of a run overlap and the outermost bound what goes.
+    bounds = same.union(single).groupBy("anchor", "context").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
+    inside = several.join(bounds, ["anchor", "context"])
     return whole.union(inside.select("d1", "d2", F.col("at") - F.col("r2"), F.col("at") - F.col("r1"))).select("d1", "d2", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
 
-def windows(docs: DataFrame, rest: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, r1, r2), r1 = r2, of the windows that repeat among the blocks left over."""
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(rest, "anchor"), bitmap(rest, "context")))
+def windows(docs: DataFrame, rest: DataFrame, holders: DataFrame, length: int) -> DataFrame:
+    """(anchor, context, r1, r2), r1 = r2, of the windows that repeat among the blocks left over; holders: a text (d1) that has each context."""
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(holders, "d1"), bitmap(rest, "context")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for _, texts in texts_of(batches, 0):
             rows = []
-            for data in texts:
-                if not (found := runs(data, length)):
-                    continue
-                keep = within(shared.value[0], found[0])
-                if not keep.any():
+            held = within(shared.value[0], np.array([digest(x)[0] for x in texts], np.int64))
+            for data, wanted in zip(texts, held.tolist(), strict=True):
+                if not wanted or not (found := runs(data, length)):
                     continue
-                lot = [(h, name(piece := data[a : b + length]), p - a, piece) for h, p, a, b in zip(*(x[keep].tolist() for x in found), strict=True)]
+                lot = [(h, name(piece := data[a : b + length]), p - a, piece) for h, p, a, b in zip(*(x.tolist() for x in found), strict=True)]
                 for row, open_ in zip(lot, within(shared.value[1], np.array([r[1] for r in lot], np.int64)).tolist(), strict=True):
                     if open_ and row[:2] not in seen:
                         seen.add(row[:2])
@@ -231,21 +232,33 @@ def windows(docs: DataFrame, rest: DataFrame, length: int) -> DataFrame:
     return each.join(repeated, ["anchor", "r", "window"]).select("anchor", "context", F.col("r").alias("r1"), F.col("r").alias("r2"))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of ranges that overlap or touch."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def merged_lists(lists: pa.ListArray) -> pa.ListArray:
+    """For each list of (start, end) the maximal runs of ranges that overlap or touch; all lists at once."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row, (start, end) = np.repeat(np.arange(len(lists)), n), (c.to_numpy() for c in lists.flatten().flatten())
+    order = np.lexsort((start, row))
+    start, end = start[order], end[order]
+    far = row * (int(end.max(initial=0)) + 1)  # rows lie apart, so one running maximum serves all
+    reach = np.maximum.accumulate(far + end)
+    first = np.flatnonzero(np.r_[True, far[1:] + start[1:] > reach[:-1]]) if len(row) else np.empty(0, np.int64)
+    last = np.r_[first[1:], len(row)] - 1 if len(row) else first
+    ends = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(lists)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach - far)[last])], ["start", "end"]))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) of each row: byte ranges removed, and the bytes that stay."""
     docs = df.select(F.col(text_col).cast("binary").alias("bytes"))
-    spans = written(found_spans(docs, length).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], merged_lists(batch.column(2))], ["d1", "d2", "spans"])
+
+    each = found_spans(docs, length).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most a text's runs
+    spans = written(each.mapInArrow(lean(joined), f"d1 long, d2 long, spans {SPANS}"), "spans")
     shared = df.sparkSession.sparkContext.broadcast(bitmap(spans, "d1"))
     id_type = df.schema[id_col].dataType.simpleString()
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
@@ -271,7 +284,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in lots(batches, 1, ROWS):
             rows = []
             for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = merged([(s["start"], s["end"]) for s in found or []])
+                gone = [(s["start"], s["end"]) for s in found or []]
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 rows.append((len(data), sum(b - a for a, b in gone), gone, b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])))
             columns = [[r[0] for r in rows], [r[1] for r in rows], [[{"start": a, "end": b} for a, b in r[2]] for r in rows], [r[3] for r in rows]]
@@ -279,18 +292,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes"))
     hit = rows.mapInArrow(lean(keyed), f"id {id_type}, bytes binary, d1 long, d2 long").join(spans, ["d1", "d2"], "left").select("id", "bytes", "spans")
-    out = f"id {id_type}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    out = f"id {id_type}, n_bytes long, n_removed long, spans {SPANS}, kept binary"
     return rows.mapInArrow(lean(whole), out).union(hit.mapInArrow(lean(cut), out)).withColumnRenamed("id", id_col)
 
 
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return removed.select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """The same spans by a table of all windows, for tests."""
-    count: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
-    return [merged([(i, i + length) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1]) for t in texts]

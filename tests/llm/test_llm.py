@@ -10,6 +10,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,26 @@ def test_schedules_invert_their_integral(spark):
             assert abs(w[grid <= at].sum() / w.sum() - share) < 1e-3
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of ranges that overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def brute_spans(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """The spans of repeated windows by a table of all of them."""
+    count: dict[bytes, int] = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
+    return [merged([(i, i + length) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1]) for t in texts]
+
+
 def test_substrings_by_brute_force(spark):
     r = random.Random(3)
     base = [t for _, t in texts(spark, 60)]
@@ -270,10 +291,18 @@ def test_substrings_by_brute_force(spark):
     rows += ["ab" * 500, "xyz" * 400, "q" * 199, "q" * 200, "", None]
     got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
     data = [(t or "").encode() for t in rows]
-    for x, b, spans in zip(got, data, substrings.brute_force(data, 200), strict=True):
+    for x, b, spans in zip(got, data, brute_spans(data, 200), strict=True):
         assert [(s.start, s.end) for s in x.spans] == spans and x.n_removed + len(x.kept) == len(b)
 
 
+def test_spans_merge_by_the_lot():
+    r = random.Random(4)
+    lists = [[(a := r.randrange(60), a + r.randrange(1, 9)) for _ in range(r.randrange(12))] for _ in range(50)] + [[]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    got = substrings.merged_lists(pa.array([[{"start": a, "end": b} for a, b in x] for x in lists], kind))
+    assert [[(s["start"], s["end"]) for s in x] for x in got.to_pylist()] == [merged(x) for x in lists]
+
+
 def brute_components(rows, size, num, den):
     sets = {}
     for i, t in rows:
@@ -343,7 +372,7 @@ def test_jaccard_names_shared_by_two_digests():
 def test_word_hashes_of_any_cut():
     r = random.Random(2)
     lots = ["".join(r.choice("aB \n\tcé😀") for _ in range(r.randrange(200))) + "z" * r.randrange(200) for _ in range(60)] + ["", "a", " "]
-    whole = jaccard.shingle_sets(__import__("pyarrow").array([t.encode() for t in lots]), 3)
+    whole = jaccard.shingle_sets(pa.array([t.encode() for t in lots]), 3)
     for t, s in zip(lots, whole, strict=True):
         assert (jaccard.shingles(t.encode(), 3) == s).all()
         w = t.translate(str.maketrans(urls.UPPER, urls.LOWER)).split()
