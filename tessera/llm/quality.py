@@ -33,11 +33,12 @@ WINDOW, FEWEST, REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own; interquartile ranges that a fence lies off; bytes of the thresholds' table up to which it is broadcast.
 LEAST, FENCE, FEW_BYTES = 50, 3, 8 << 20
 #: The measures: name, expression over the counts, the least range that counts, whether low values fail too.
+#: The least ranges of the last two are a tenth of the base rule's cutoff, so that their fences lie well below it.
 MEASURES = (
     ("word_length", "100 * word_chars div n_words", 100, True),
     ("symbols", "1000 * n_symbols div n_words", 50, False),
-    ("dup_lines", "1000 * n_dup_lines div n_lines", 100, False),
-    ("repeat_words", "1000 * n_repeat_words div n_words", 100, False),
+    ("dup_lines", "1000 * n_dup_lines div n_lines", 30, False),
+    ("repeat_words", "1000 * n_repeat_words div n_words", 30, False),
 )
 ROWS = 256
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"

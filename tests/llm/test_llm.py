@@ -180,6 +180,18 @@ def test_quality_counts_by_brute_force(spark):
         assert covered is None or got[4] == len(covered)
 
 
+def test_quality_rejects_an_outlier_by_each_measure(spark):
+    r = random.Random(6)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(10**4):04d}" for _ in range(n)]
+    plain = [(i, "\n".join(" ".join(words(8)) for _ in range(12)), "en", "a") for i in range(200)]
+    some = words(100)
+    odd = [(1001, " ".join(w * 6 for w in words(60)), "en", "a"), (1002, " ".join(f"#{w}"[:5] for w in words(60)), "en", "a")]
+    odd += [(1003, "\n".join([" ".join(words(8)) for _ in range(20)] + ["w"] * 8), "en", "a"), (1004, " ".join(some + some[:13]), "en", "a")]
+    got = {x.doc_id: x for x in quality.judge(docs(spark, plain + odd)).collect()}
+    assert all(got[i].kept for i, *_ in plain)
+    assert not any(got[i].base_failed or got[i].kept for i, *_ in odd), [got[i] for i, *_ in odd]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     import glob
