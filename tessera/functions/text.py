@@ -24,10 +24,28 @@ def _norm_any(s: pd.Series) -> pd.Series:
     return s.map(_folded, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _norm_every(s: pd.Series) -> pd.Series:
+    return pd.Series([None if names is None else [_folded(x) for x in names] for names in s])
+
+
+def _ascii(col: Column) -> Column:
+    return F.coalesce(col.rlike(r"^[\x00-\x7f]*\z"), F.lit(True))
+
+
+def _ascii_norm(col: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(col, r"[\s\x1c-\x1f]+", " ")))
+
+
 def norm(col: Column) -> Column:
-    """Compatibility decomposition without marks, case folded, white space collapsed; plain ASCII stays in the JVM."""
-    ascii_ = F.lower(F.trim(F.regexp_replace(col, r"[\s\x1c-\x1f]+", " ")))
-    return F.when(col.rlike(r"^[\x00-\x7f]*$"), ascii_).otherwise(_norm_any(col))
+    """Compatibility decomposition without marks, case folded, white space collapsed; Python sees null for plain ASCII, which the JVM folds."""
+    return F.when(_ascii(col), _ascii_norm(col)).otherwise(_norm_any(F.when(~_ascii(col), col)))
+
+
+def norm_each(names: Column) -> Column:
+    """norm() of each member of an array; arrays of plain ASCII are folded by the JVM."""
+    plain = F.forall(names, _ascii)
+    return F.when(plain, F.transform(names, _ascii_norm)).otherwise(_norm_every(F.when(~plain, names)))
 
 
 def normalize(col: Column) -> Column:
@@ -60,7 +78,7 @@ def identity_keys(artist: Column, title: Column, mbid: Column) -> Column:
 def union_keys(*names: Column) -> Column:
     """Distinct normalised names of several arrays, blank ones left out, sorted."""
     every = F.concat(*[F.coalesce(n, F.array().cast("array<string>")) for n in names])
-    return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(norm_each(every), lambda x: x != "")))
 
 
 def first_keys(*names: Column) -> Column:
@@ -99,7 +117,7 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def flexible_similarity(a: Column, b: Column) -> Column:
     """The largest of sequence, word and containment similarity of normalised texts."""
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(F.greatest(sequence_similarity(a, b), token_similarity(a, b), containment(a, b)))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(F.greatest(sequence_similarity(F.when(a != b, a), F.when(a != b, b)), token_similarity(a, b), containment(a, b)))
 
 
 # The words and forms by which titles carry credits, decorations and versions.
@@ -210,8 +228,14 @@ def compatibility(a: Column, b: Column, remix_like: Column) -> Column:
 
 
 def artist_parts(artist: Column) -> Column:
-    """Credited artists of a line, split at collaboration words."""
-    return F.filter(F.transform(F.split(artist, COLLABORATION), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "))), lambda x: x != "")
+    """Credited artists of a line, split at collaboration words and normalised."""
+    return artists_parts(F.array(artist))
+
+
+def artists_parts(artists: Column) -> Column:
+    """The same of all lines of an array."""
+    parts = F.flatten(F.transform(F.filter(artists, lambda a: a.isNotNull()), lambda a: F.split(a, COLLABORATION)))
+    return F.filter(F.transform(norm_each(parts), lambda x: F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))), lambda x: x != "")
 
 
 def bad_video(source: Column, target: Column, missing: Column) -> Column:

@@ -90,16 +90,18 @@ def greedy(rows: DataFrame, keys: str, seq: str) -> DataFrame:
 
 
 def pooled(rows: DataFrame, genre: str, primary: str, text: str, seq: str) -> DataFrame:
-    """(genre, row, merged_into): each row's pool entry, where a row joins the entry under its primary key, else the one under its text key.
+    """(genre, row, merged_into): each row's pool entry, its own if it makes one.
 
-    Only rows without an mbid have entries under a text key, so a row with an mbid joins the first such row of its text if
-    that came before it and no entry has its own key; a row without one never finds an entry made with an mbid.
+    In order of seq, a row joins the entry under its primary key, else the one under its text key, else makes one under
+    its primary key.  So only rows whose primary key is the text key make entries under a text, the first of each; a row
+    with another primary key makes an entry unless its text had one before.  Null genres and keys are values like others.
     """
-    plain = F.col(primary) == F.col(text)
-    own = rows.groupBy(genre, primary).agg(F.min(seq).alias("own_first"))
-    texts = rows.where(plain).groupBy(genre, text).agg(F.min(seq).alias("text_first"))
-    joined = rows.join(own, [genre, primary]).join(texts, [genre, text], "left")
-    into = F.when(F.col("text_first").isNotNull() & (F.col("text_first") < F.col("own_first")), F.col("text_first"))
-    # A key's entry exists once one of its rows could not join a text entry: the first row before which there was none.
-    into = F.coalesce(F.when(plain, F.col("text_first")), into, F.when(F.col("own_first") <= F.col(seq), F.col("own_first")))
-    return joined.select(genre, F.col(seq).alias("row"), into.alias("merged_into"))
+    cols = rows.select(F.col(genre).alias("g"), F.col(primary).alias("p"), F.col(text).alias("t"), F.col(seq).alias("s"))
+    plain = F.col("p").eqNullSafe(F.col("t"))
+    texts = written(cols.where(plain).groupBy(F.col("g").alias("tg"), F.col("t").alias("tt")).agg(F.min("s").alias("text_first")), "texts")
+    joined = cols.join(texts, F.col("g").eqNullSafe(F.col("tg")) & F.col("t").eqNullSafe(F.col("tt")), "left").drop("tg", "tt")
+    makes = joined.where(~plain & (F.col("text_first").isNull() | (F.col("text_first") > F.col("s"))))
+    own = written(makes.groupBy(F.col("g").alias("og"), F.col("p").alias("op")).agg(F.min("s").alias("own_first")), "own")
+    joined = joined.join(own, F.col("g").eqNullSafe(F.col("og")) & F.col("p").eqNullSafe(F.col("op")), "left")
+    into = F.when(plain, F.col("text_first")).when(F.col("own_first") < F.col("s"), F.col("own_first")).when(F.col("text_first") < F.col("s"), F.col("text_first")).otherwise(F.col("s"))
+    return joined.select(F.col("g").alias(genre), F.col("s").alias("row"), into.alias("merged_into"))

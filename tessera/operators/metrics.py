@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.taxonomy import closure
+
 
 def confusion(rows: DataFrame, true: str, predicted: str, classes: DataFrame) -> DataFrame:
     """(true_class, predicted_class, n) of every pair of classes, zeros included; `classes` has one column, class."""
@@ -120,6 +122,13 @@ def violations(scores: DataFrame, nodes: DataFrame, sample: str, label: str, sco
 
 
 def projected(scores: DataFrame, nodes: DataFrame, sample: str, label: str, score: str) -> DataFrame:
-    """Scores with each parent raised to its highest child."""
-    up = scores.join(F.broadcast(nodes.where("parent is not null").select(F.col("id").alias(label), "parent")), label).select(sample, F.col("parent").alias(label), F.col(score))
+    """Scores with each label raised to the highest of all labels below it."""
+    above = closure(nodes).where("depth > 0").select(F.col("id").alias(label), "ancestor")
+    up = scores.join(F.broadcast(above), label).select(sample, F.col("ancestor").alias(label), F.col(score))
     return scores.select(sample, label, score).union(up).groupBy(sample, label).agg(F.max(score).alias(score))
+
+
+def single_parent_confusion(rows: DataFrame, roots: str, predicted: str, classes: DataFrame) -> DataFrame:
+    """The confusion of rows with exactly one root; rows of several roots say nothing."""
+    one = rows.where(F.size(roots) == 1).select(F.get(F.col(roots), F.lit(0)).alias("truth"), F.col(predicted).alias("predicted"))
+    return confusion(one, "truth", "predicted", classes)

@@ -30,9 +30,12 @@ def assigned(unit: Column, first: float, second: float) -> Column:
 
 
 def disjoint_split(edges: DataFrame, row: str, artist: str, seed: str, first: float = 0.7, second: float = 0.85) -> DataFrame:
-    """(row, component, split): rows that share artists, directly or through others, stay together."""
-    ends = edges.groupBy(artist).agg(F.min(row).alias("__first"))
-    group = components(edges.join(ends, artist).select(row, "__first"), row, "__first")
+    """(row, component, split): rows that share artists, directly or through others, stay together; a null artist is shared by none."""
+    named = edges.where(F.col(artist).isNotNull())
+    ends = named.groupBy(artist).agg(F.min(row).alias("__first"))
+    group = components(named.join(ends, artist).select(row, "__first"), row, "__first")
+    alone = edges.select(row).distinct().join(named.select(row), row, "left_anti")
+    group = group.union(alone.select(F.col(row).alias("node"), F.col(row).alias("label")))
     return group.select(F.col("node").alias(row), F.col("label").alias("component"), assigned(share(F.col("label"), seed), first, second).alias("split"))
 
 

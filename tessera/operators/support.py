@@ -68,6 +68,12 @@ def health(n: Column) -> Column:
     return F.when(n >= 100, "healthy").when(n >= 50, "borderline").otherwise("at_risk")
 
 
+def viability_order(rows: DataFrame, n: str, id_col: str = "id") -> DataFrame:
+    """Adds health and sorts by it, the worst first, then by n and id."""
+    rank = F.when(F.col("health") == "at_risk", 0).when(F.col("health") == "borderline", 1).otherwise(2)
+    return rows.withColumn("health", health(F.col(n))).orderBy(rank, n, id_col)
+
+
 def strength_counts(evidence: DataFrame, candidate: str, genre: str, strength: str) -> DataFrame:
     """(genre, strong, medium, weak): distinct candidates' evidence of each strength; an unknown strength is weak."""
     known = F.lower(F.col(strength))

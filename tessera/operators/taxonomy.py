@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import written
+
 
 class BrokenTaxonomy(ValueError):
     """Repeated ids, unknown parents or cycles."""
@@ -20,23 +22,26 @@ def check(nodes: DataFrame) -> None:
             raise BrokenTaxonomy(f"{what}: {found}")
 
 
-def closure(nodes: DataFrame, max_depth: int = 32, on_cycle: str = "raise") -> DataFrame:
+def closure(nodes: DataFrame, on_cycle: str = "raise") -> DataFrame:
     """(id, ancestor, depth) of every node and ancestor, the node itself at depth 0.
 
-    One join a level, until no node has a further ancestor.  A cycle raises, or with on_cycle="stop" ends where it closes.
+    One join a level, each level written, until no node has a further ancestor, however deep the tree is.  A cycle raises,
+    or with on_cycle="stop" ends where it closes.
     """
-    parents = nodes.select("id", "parent")
-    out = level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    for depth in range(1, max_depth + 1):
-        up = level.join(parents.withColumnRenamed("id", "ancestor"), "ancestor").where("parent is not null")
-        closed = F.array_contains("path", F.col("parent"))
-        if on_cycle == "raise" and up.where(closed).limit(1).count():
+    parents = nodes.select(F.col("id").alias("ancestor"), "parent")
+    levels = [nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))]
+    while True:
+        up = levels[-1].join(parents, "ancestor").where("parent is not null")
+        level = written(up.select("id", F.col("parent").alias("ancestor"), F.lit(len(levels)).alias("depth"), F.concat("path", F.array("parent")).alias("path"), F.array_contains("path", F.col("parent")).alias("closed")), "level")
+        n, closed = level.agg(F.count_if(~F.col("closed")), F.count_if("closed")).first()
+        if closed and on_cycle == "raise":
             raise BrokenTaxonomy("the parents form a cycle")
-        level = up.where(~closed).select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("parent")).alias("path"))
-        if not level.limit(1).count():
-            break
-        out = out.union(level)
-    return out.drop("path")
+        if not n:
+            out = levels[0]
+            for further in levels[1:]:
+                out = out.union(further)
+            return out.drop("path")
+        levels.append(level.where("not closed").drop("closed"))
 
 
 def roots(nodes: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def normalization(rows: DataFrame, vec: str, track: str | None = None) -> DataFr
 
 
 def standardized(rows: DataFrame, vec: str, norm: DataFrame, name: str = "z") -> DataFrame:
-    """Adds (x - mean) / std as floats; the normalisation is one number a dimension and is broadcast."""
+    """Adds (x - mean) / std in double; the normalisation is one number a dimension and is broadcast."""
     one = norm.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("__norm"))
-    z = F.zip_with(F.col(vec), F.col("__norm"), lambda x, n: ((x.cast("double") - n["mean"]) / n["std"]).cast("float"))
+    z = F.zip_with(F.col(vec), F.col("__norm"), lambda x, n: (x.cast("double") - n["mean"]) / n["std"])
     return rows.crossJoin(F.broadcast(one)).withColumn(name, z).drop("__norm")
 
 
@@ -74,11 +74,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest_centroid(rows: DataFrame, key: str, vec: str, centroids: DataFrame, label: str, mean_col: str = "mean") -> DataFrame:
-    """(key, predicted): the label of the nearest mean, the smallest label among equals; centroids are one row a class."""
-    near = rows.select(key, vec).crossJoin(F.broadcast(centroids.select(F.col(label).alias("__label"), F.col(mean_col).alias("__mean"))))
-    gap = F.zip_with(F.col(vec), F.col("__mean"), lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
-    distance = F.bround(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x), 9)
-    return near.groupBy(key).agg(F.min_by("__label", F.struct(distance, F.col("__label"))).alias("predicted"))
+    """(key, predicted): the label of the nearest mean, the smallest label among equals.
+
+    The classes' means are one array that travels with the plan, so a row finds its class by itself, without a shuffle.
+    """
+    one = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(mean_col).alias("mean")))).alias("__classes"))
+
+    def distance(c: Column) -> Column:
+        gap = F.zip_with(F.col(vec), c["mean"], lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
+        return F.bround(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x), 9)
+
+    nearest = F.array_min(F.transform("__classes", lambda c: F.struct(distance(c).alias("distance"), c["label"].alias("label"))))
+    return rows.select(key, vec).crossJoin(F.broadcast(one)).select(key, nearest["label"].alias("predicted"))
 
 
 def attention_pool(rows: DataFrame, key: str, index: str, vec: str, query: list[float]) -> DataFrame:

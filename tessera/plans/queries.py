@@ -246,7 +246,12 @@ def o8(spark, sf_dir):
     return c.select("c_custkey", X.union_keys(none, F.array("c_name"), one).alias("every_key"), X.first_keys(none, one, F.array("c_name")).alias("first_key"))
 
 
-@query("o10_pool_merge")
+@query("o10_pool_merge", """
+WITH d AS (SELECT lang AS g, 't' || md5(text) AS t, CASE WHEN doc_id % 3 = 0 THEN 'm' || (doc_id % 50) ELSE 't' || md5(text) END AS p, doc_id AS s FROM documents),
+x AS (SELECT g, t, min(s) AS text_first FROM d WHERE p IS NOT DISTINCT FROM t GROUP BY ALL), j AS (SELECT d.*, text_first FROM d LEFT JOIN x ON d.g IS NOT DISTINCT FROM x.g AND d.t IS NOT DISTINCT FROM x.t),
+o AS (SELECT g, p, min(s) AS own_first FROM j WHERE p IS DISTINCT FROM t AND (text_first IS NULL OR text_first > s) GROUP BY ALL)
+SELECT j.g AS lang, s AS row, CASE WHEN j.p IS NOT DISTINCT FROM t THEN text_first WHEN own_first < s THEN own_first WHEN text_first < s THEN text_first ELSE s END AS merged_into
+FROM j LEFT JOIN o ON j.g IS NOT DISTINCT FROM o.g AND j.p IS NOT DISTINCT FROM o.p""")
 def o10(spark, sf_dir):
     d = t(spark, sf_dir, "documents").withColumn("text_key", F.concat(F.lit("t"), F.md5("text"))).withColumn("primary", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), F.col("doc_id") % 50)).otherwise(F.col("text_key")))
     return identity.pooled(d, "lang", "primary", "text_key", "doc_id")
@@ -975,8 +980,11 @@ def k5(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.plans import labelling  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -6,10 +6,12 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.plans.storage import exists
+
 
 def latest(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key so far (complete or update mode)."""
@@ -31,15 +33,19 @@ def follow(stream: DataFrame, done: str, key: str, seconds: int = 30) -> Streami
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        try:
-            old = spark.read.parquet(done).select(key)
-        except Exception:  # noqa: BLE001 - the log has no file yet
-            old = rows.select(key).limit(0)
+        old = spark.read.parquet(done).select(key) if exists(spark, done) else rows.select(key).limit(0)
         rows.dropDuplicates([key]).join(old, key, "left_anti").write.mode("append").parquet(done)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", done + ".checkpoint").trigger(processingTime=f"{seconds} seconds").start()
 
 
+def stop(*queries: StreamingQuery) -> None:
+    """Ends streams after the batch at hand; what they have not begun stays for the next start."""
+    for q in queries:
+        q.stop()
+        q.awaitTermination()
+
+
 def pending(work: DataFrame, log: DataFrame, key: str, complete: Column) -> DataFrame:
     """Work without a complete row in the log."""
     return work.join(log.where(complete).select(key), key, "left_anti")
@@ -50,8 +56,10 @@ def compacted(log: DataFrame, key: str, seq: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), seq).alias("row")).select(key, "row.*")
 
 
-#: Minutes of cool-down after the first and each later global error.
+#: Minutes of cool-down after the first and each later global error since a success.
 COOL_DOWN = (45, 20)
+#: Attempts of a range that is summed by itself.
+RANGE = 1 << 16
 
 
 def retries(attempts: DataFrame, key: str, seq: str, outcome: str, most: int) -> DataFrame:
@@ -70,6 +78,22 @@ def retries(attempts: DataFrame, key: str, seq: str, outcome: str, most: int) ->
     return attempts.groupBy(key).agg(ends.alias("e")).select(key, "e.state", "e.tries")
 
 
+def cool_downs(attempts: DataFrame, seq: str, outcome: str) -> DataFrame:
+    """(seq, minutes): the pause after each attempt that met a global error; the first one since the last success waits longest.
+
+    Each range of seq finds its last success by itself; only a row for each range is summed over all.
+    """
+    rows = attempts.select(F.col(seq).alias("s"), F.col(outcome).alias("o"), F.floor(F.col(seq) / RANGE).alias("part")).where(F.col("o").isin("global", "ok"))
+    success = F.when(F.col("o") == "ok", F.col("s"))
+    ends = rows.groupBy("part").agg(F.max(success).alias("end"))
+    earlier = ends.select("part", F.max("end").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    inner = rows.withColumn("before", F.max(success).over(Window.partitionBy("part").orderBy("s")))
+    run = inner.where("o = 'global'").join(F.broadcast(earlier), "part").select("s", F.coalesce("before", "earlier").alias("since"))
+    opening = run.groupBy("since").agg(F.min("s").alias("opening"))
+    paired = run.join(opening.withColumnRenamed("since", "mark"), F.col("since").eqNullSafe(F.col("mark")))
+    return paired.select(F.col("s").alias(seq), F.when(F.col("s") == F.col("opening"), COOL_DOWN[0]).otherwise(COOL_DOWN[1]).alias("minutes"))
+
+
 def retry_stream(stream: DataFrame, key: str, outcome: str, most: int) -> DataFrame:
     """The same machine over a stream: (key, state, tries) whenever a key's attempts arrive."""
     kind = stream.schema[key].dataType.simpleString()

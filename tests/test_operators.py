@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import collect, identity, match, metrics, rank, series, split, support, taxonomy, validate, vectors
+from tessera.operators import checks, collect, identity, match, metrics, rank, series, split, support, taxonomy, validate, vectors
 from tessera.sources import files, recorded
 from tessera.streaming import state
 
@@ -192,3 +192,89 @@ def test_retry_machine_in_batch_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
     out = state.available(state.retry_stream(stream, "k", "o", 2), "retries", "update")
     assert {r.k: (r.state, r.tries) for r in out.collect()} == want
+
+
+def test_pool_equals_a_loop(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for s in range(300):
+        text = r.choice(["t1", "t2", "t3", "t4", None])
+        rows.append((r.choice(["g", "h", None]), r.choice([text, text, "m1", "m2", "m3"]), text, s))
+    pool, want = {}, {}
+    for g, p, x, s in rows:
+        entry = pool.get((g, p), pool.get((g, x)))
+        if entry is None:
+            entry = pool[g, p] = s
+        want[s] = entry
+    got = identity.pooled(spark.createDataFrame(rows, "g string, p string, t string, s long"), "g", "p", "t", "s").collect()
+    assert {x.row: x.merged_into for x in got} == want and len(got) == len(rows)
+
+
+def test_rows_without_an_artist_keep_a_split_of_their_own(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, None), (4, None), (4, "b"), (5, None)]
+    got = {x.row: x.component for x in split.disjoint_split(spark.createDataFrame(rows, "row long, artist string"), "row", "artist", "s").collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 5}
+
+
+def test_deep_trees_and_cycles(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, i) for i in range(40)], "id string, parent string, position int")
+    assert taxonomy.closure(nodes).where("id = 'n39'").count() == 40
+    assert {x.root for x in taxonomy.roots(nodes).collect()} == {"n0"}
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")
+    with pytest.raises(taxonomy.BrokenTaxonomy):
+        taxonomy.closure(ring)
+    assert taxonomy.closure(ring, on_cycle="stop").count() == 4
+    tree = spark.createDataFrame([("r", None), ("m", "r"), ("l", "m")], "id string, parent string")
+    scores = spark.createDataFrame([(1, "r", 0.1), (1, "m", 0.2), (1, "l", 0.9)], "s int, id string, p double")
+    assert {x.id: x.p for x in metrics.projected(scores, tree, "s", "id", "p").collect()} == {"r": 0.9, "m": 0.9, "l": 0.9}
+
+
+def test_keys_fold_accents_and_line_ends(spark):
+    none = F.lit(None).cast("array<string>")
+    row = one(spark, end=X.norm(F.lit("abc\u2028")), names=X.union_keys(F.array(F.lit("Beyonc\u00e9"), F.lit("BEYONCE"), F.lit(None)), none), parts=X.artist_parts(F.lit("Beyonc\u00e9 feat. Sigur R\u00f3s")))
+    assert (row.end, row.names, row.parts) == ("abc", ["beyonce"], ["beyonce", "sigur ros"])
+
+
+def test_checks_name_what_is_wrong(spark):
+    rows = spark.createDataFrame([(i, i % 3, 0, 2, 4, 4) for i in range(9)], "id int, y int, s int, e int, w int, c int")
+    classes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "index int, id string")
+    assert checks.check_classes(classes) == 3 and checks.check_targets(rows, "id", "y", 3).count() == 9 and checks.check_sections(rows, "id", "s", "e", "w", "c").count() == 9
+    for call in (
+        lambda: checks.check_classes(classes.where("index <> 1")),
+        lambda: checks.check_targets(rows, "id", "y", 2),
+        lambda: checks.check_targets(rows.withColumn("y", F.col("y") > 0), "id", "y", 2),
+        lambda: checks.check_sections(rows.withColumn("e", F.lit(5)), "id", "s", "e", "w", "c"),
+        lambda: checks.required(rows, rows.where("id > 6").select("id"), "id"),
+        lambda: checks.one_configuration(rows.withColumn("f", F.lit("x")), "f", "y"),
+        lambda: checks.check_request({"view": "whole"}, {"view": "center"}),
+        lambda: checks.representation_plan("effnet", "mlp", "center"),
+    ):
+        with pytest.raises(checks.BadInput):
+            call()
+    assert checks.representation_plan("muq", "mlp", "center") == ("sequence", "pooled") and checks.representation_plan("effnet", "attention", "whole") == ("sequence", "sequence")
+    near = spark.range(1).select(checks.alike(F.array(F.lit(1.0)), F.array(F.lit(1.0 + 1e-7))).alias("a"), checks.alike(F.array(F.lit(1.0)), F.array(F.lit(1.1))).alias("b")).first()
+    assert (near.a, near.b) == (True, False)
+
+
+def test_a_clear_result_of_the_first_query_is_taken_at_once(spark):
+    tracks = spark.createDataFrame([(1, "Aphex Twin", "Windowlicker"), (2, None, "x"), (3, "Nobody", "Nothing here")], "candidate_id int, artist string, title string")
+    songs = spark.createDataFrame(
+        [(1, "one", "Windowlicker", ["Aphex Twin"], 1, 0), (1, "two", "Windowlicker", ["Aphex Twin"], 2, 1), (2, "y", "x", ["x"], 1, 0), (3, "z", "Else", ["Other"], 1, 0)],
+        "candidate_id int, video_id string, result_title string, result_artists array<string>, seq int, query_no int",
+    )
+    got = {x.candidate_id: x for x in match.resolved(tracks, songs, songs.limit(0)).collect()}
+    assert (got[1].status, got[1].video_id, got[1].source) == ("resolved", "one", "song")
+    assert got[2].reason == "missing_artist_or_title" and got[3].status == "unresolved"
+
+
+def test_follow_appends_new_keys_once(spark, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.range(3).write.parquet(source)
+    for n in (3, 5):
+        spark.range(n).write.mode("append").parquet(source)
+        q = state.follow(spark.readStream.schema("id long").parquet(source), log, "id", 1)
+        q.processAllAvailable()
+        state.stop(q)
+        assert sorted(r.id for r in spark.read.parquet(log).collect()) == list(range(n))
