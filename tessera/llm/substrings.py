@@ -188,9 +188,10 @@ def found_spans(docs: DataFrame, length: int) -> DataFrame:
     # Each task counts a context once for each of its blocks.
     rest = written(rest.withColumn("n", F.expr("n div size(blocks)")), "blocks")
     several = placed.where("differ")
-    single = windows(docs, rest, several.join(rest.select("anchor", "context"), ["anchor", "context"]).groupBy("anchor", "context").agg(F.min("d1").alias("d1")), length)
+    holders = several.groupBy("anchor", "context").agg(F.min("d1").alias("d1")).join(rest.select("anchor", "context"), ["anchor", "context"])
+    single = windows(docs, rest, holders, length)
     # A run is shorter than a window, so all windows of a run overlap and the outermost bound what goes.
-    bounds = same.union(single).groupBy("anchor", "context").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
+    bounds = written(same.union(single).groupBy("anchor", "context").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")), "bounds")  # written, so that a context of many texts can be split
     inside = several.join(bounds, ["anchor", "context"])
     return whole.union(inside.select("d1", "d2", F.col("at") - F.col("r2"), F.col("at") - F.col("r1"))).select("d1", "d2", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
