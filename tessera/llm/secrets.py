@@ -44,6 +44,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]{1,15})?={0,2}")
 
+#: How compressed blobs begin in base64: gzip, zstandard, bzip2, xz; zlib, whose two letters are common, behind a separator alone.
+_PACKED = re.compile(r"H4sI|KLUv|Qlpo|/Td6W|(?<=[/_+-])e[AFJN]")
+
 #: A blob's largest size in bytes that is unpacked at once, and the most that is decoded of one run or line of a text.
 UNPACKED, LAYERS = 1 << 24, 1 << 27
 #: Larger blobs are read in blocks: bytes of a block, and of its overlap with the next one; bytes unpacked in a step; compressions in each other that are looked through.
@@ -301,11 +304,11 @@ def shown(text: str) -> str:
     return _SURROGATE.sub("\ufffd", text)
 
 
-def six_bits(run: str) -> tuple[list[int], bytes | None]:
-    """The places of a base64 run's letters, and the bytes they stand for; None if it is no such run."""
+def six_bits(run: str, both: bool = False) -> tuple[list[int], bytes | None]:
+    """The places of a base64 run's letters, and the bytes they stand for; None if it is no such run, or mixes the two alphabets unless `both` may be."""
     places = [i for i, c in enumerate(run) if c not in "\r\n="]
     body = "".join([run[i] for i in places])
-    if ("-" in body or "_" in body) and ("+" in body or "/" in body):
+    if not both and ("-" in body or "_" in body) and ("+" in body or "/" in body):
         return places, None
     if len(body) % 4 == 1:
         body = body[:-1]
@@ -318,7 +321,7 @@ def six_bits(run: str) -> tuple[list[int], bytes | None]:
 
 def packed_layers(layer: Layer, start: int, run: str) -> tuple[list[Layer], int] | None:
     """The texts in the compressed blobs that a base64 run begins with, and where they end in the run, 0 if they don't; None if there are none."""
-    places, data = six_bits(run)
+    places, data = six_bits(run, True)
     if data is None or (found := unpacked(data)) is None:
         return None
     packed, used = found
@@ -330,10 +333,12 @@ def packed_layers(layer: Layer, start: int, run: str) -> tuple[list[Layer], int]
     return [Layer(shown(text), [(0, start, start + end)], layer) for text, _, _ in texts], end if used else 0
 
 
-def text_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
-    """The texts that a base64 run holds."""
-    places, data = six_bits(run)
-    for text, byte, unit in () if data is None else readable(data):
+def text_layers(layer: Layer, start: int, run: str, glued: bool = False) -> Iterator[Layer]:
+    """The texts that a base64 run holds; of a run whose first letters may not belong to it, only what has a printable stretch."""
+    places, data = six_bits(run, glued)
+    if data is None or glued and not (_STRETCH.search(data) or _WIDE.search(data + b"\0")):
+        return
+    for text, byte, unit in readable(data):
         pieces = []
         for at, c in enumerate(text):  # byte i comes from six-bit units 4 i / 3 and on
             width = width_of(c, unit)
@@ -365,15 +370,39 @@ def wrapped(lines: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def begins(head: bytes | None) -> bool:
+    """Whether the first bytes of a blob are compressed data as far as they go."""
+    if head is None or (out := decompressor(head[:6])) is None:
+        return False
+    try:
+        out.decompress(head)
+    except Exception:  # noqa: BLE001 - each library has errors of its own
+        return False
+    return True
+
+
+def blob_starts(run: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(place, line, the line's end) where compressed blobs may begin: at lines, and behind letters that a run is glued to."""
+    out = [(a, i, b) for i, (a, b) in enumerate(lines)]
+    firsts = [a for a, _ in lines]
+    for m in _PACKED.finditer(run):
+        i = bisect_right(firsts, m.start()) - 1
+        if firsts[i] < m.start() and begins(six_bits(run[m.start() : m.start() + 64], True)[1]):
+            out.append((m.start(), i, lines[i][1]))
+    return sorted(out)
+
+
 def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[int, int]]:
     """What the blobs in a base64 run hold: it is one blob in lines, or has several, of a line or more each.
 
     Compressed blobs may begin at each line and say where they end.  Text is sought in the whole run, in what looks
     like a wrapped blob, and in each line, as a value that runs on into the next blob's text would hide that one's.
+    Where letters before a blob are glued to it, as a path is, the blob begins one, two, three or no letters behind
+    a multiple of four, and one of these readings of the run has its text.
     """
     lines, after = lines_of(run), 0
-    for i, (a, b) in enumerate(lines):
-        head = six_bits(run[a : min(a + 8, b)])[1]
+    for a, i, b in blob_starts(run, lines):
+        head = six_bits(run[a : min(a + 8, b)], True)[1]
         if a < after or head is None or decompressor(head) is None:
             continue
         n = 1
@@ -383,7 +412,7 @@ def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[in
                 found = packed_layers(layer, start + a, run[a:to])
             except TooLarge:
                 yield start + a, start + len(run)
-                for block in blocks(six_bits(run[a:])[1] or b""):
+                for block in blocks(six_bits(run[a:], True)[1] or b""):
                     for part, _, _ in readable(characters(block)):
                         yield Layer(shown(part), [(0, start + a, start + len(run))], layer)
                 break
@@ -400,6 +429,9 @@ def blob_layers(layer: Layer, start: int, run: str) -> Iterator[Layer | tuple[in
             continue
         tried.add((a, b))
         yield from text_layers(layer, start + a, run[a:b])
+    for off in range(4):
+        if len(run) - off >= SHORTEST:
+            yield from text_layers(layer, start + off, run[off:], True)
 
 
 def children(layer: Layer) -> Iterator[Layer | tuple[int, int]]:

@@ -170,6 +170,52 @@ def test_secrets_in_layers_that_are_no_text_throughout():
     assert secrets.scan(base64.b64encode(gzip.compress(gzip.compress(b"words") + b" password = hunter2hunter2")).decode())[1]
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secrets_in_blobs_that_letters_are_glued_to(pack):
+    for data in (b"some words password = hunter2hunter2 and more", b"?>?>?> token=abcdefgh ~~~"):
+        blob = base64.b64encode(pack(data)).decode()
+        for before in ("data/", "a/b/c/", "x", "xy_", "key-", "https://h.com/v1/files/", "abcdefghijklmnopq/"):
+            if pack is zlib.compress and before == "x":
+                continue  # two common letters tell too little without a separator
+            text = f"see {before}{blob} end"
+            spans = secrets.scan(text)[1]
+            assert any(k == 0 and s >= 4 + len(before) - 3 and e <= len(text) - 4 for s, k, e in spans), (before, data)
+
+
+def brute_layers(text, deep=5):
+    """Every text that decoding whole runs in any order gives, by trying all."""
+    out = {text}
+    if deep:
+        found = [urllib.parse.unquote(text), text.encode().decode("unicode_escape") if text.isascii() else text]
+        for m in __import__("re").finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+            try:
+                data = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4))
+            except ValueError:
+                continue
+            for open_ in (bytes, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress):
+                try:
+                    found.append(open_(data).decode())
+                except Exception:  # noqa: BLE001 - not of this kind
+                    continue
+        for t in found:
+            if t not in out:
+                out |= brute_layers(t, deep - 1)
+    return out
+
+
+def test_secrets_against_all_orders_of_decoding():
+    r = random.Random(12)
+    b64 = lambda d: base64.b64encode(d).decode()
+    wraps = [lambda s: b64(s.encode()), lambda s: b64(gzip.compress(s.encode())), lambda s: b64(zlib.compress(s.encode())), lambda s: b64(bz2.compress(s.encode())), lambda s: "".join(f"%{c:02X}" for c in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s)]
+    for _ in range(150):
+        secret = f"{r.choice(['password', 'token', 'api_key'])}={''.join(r.choice('abcdefgh01') for _ in range(9))}"
+        text = f"words before {secret} and behind" if r.random() < 0.8 else "nothing to find here at all"
+        for _ in range(r.randrange(1, 4)):
+            text = f"see {r.choice(wraps)(text)} end"
+        want = any(True for t in brute_layers(text) for _ in secrets.base_spans(t))
+        assert bool(secrets.scan(text)[1]) == want, text
+
+
 def test_quality_counts_by_brute_force(spark):
     for _, text in [*texts(spark), (0, "a a a a a a a a a"), (0, PROSE * 3)]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
