@@ -30,6 +30,8 @@ from tessera.llm.common import lean, lots
 
 #: Dimensions, letters of an n-gram, n-grams whose vectors a worker keeps.
 DIMENSIONS, GRAM, KEPT = 512, 3, 1 << 15
+#: Most languages that are learned: prototypes go to the driver and to all tasks, 2 KB each.
+LANGUAGES = 4096
 #: Rows, and n-grams, that are worked on together.
 ROWS, BLOCK = 128, 8192
 
@@ -116,9 +118,12 @@ class Prototypes:
 
 
 def train(df: DataFrame, text_col: str, lang_col: str, chosen: Column) -> Prototypes:
-    """Prototypes from the chosen rows with a language."""
+    """Prototypes from the chosen rows with a language.  More than LANGUAGES values raise: the column holds something else."""
     kept = df.where(chosen & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
 
+    if kept.select("l").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in lots(batches, 0, ROWS):

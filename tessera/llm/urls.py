@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import written
 
-#: Share of mistakes a level is sized for, and the bits of a cascade up to which it is broadcast (64 MiB).
+#: Largest share of mistakes a level is sized for, and the bits of all cascades together up to which they are broadcast (64 MiB).
 MISTAKES, BROADCAST_BITS = 2.0**-8, 1 << 29
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,8 +53,9 @@ class Level:
     words: np.ndarray | None = None
 
     @staticmethod
-    def sized(keys: int, number: int) -> Level:
-        hashed = max(1, round(-math.log2(MISTAKES)))
+    def sized(keys: int, others: int, number: int) -> Level:
+        """A level for so many keys that makes about as many mistakes among the others as it has keys, so that the next level is no larger, however large the universe."""
+        hashed = max(1, round(-math.log2(min(MISTAKES, keys / max(1, others)))))
         return Level(number, max(512, -(-int(keys * hashed / math.log(2) + 1) // 64) * 64), hashed)
 
     def positions(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -86,9 +87,9 @@ class Cascade:
         return sum(level.bits for level in self.levels)
 
 
-def made_level(keys: DataFrame, n: int, number: int) -> Level:
+def made_level(keys: DataFrame, n: int, others: int, number: int) -> Level:
     """The filter of n keys (h1, h2); its words are or-ed where they are made, then between tasks."""
-    level = Level.sized(n, number)
+    level = Level.sized(n, others, number)
     if level.bits > BROADCAST_BITS:
         raise TooManyKeys(f"{n} keys need {level.bits} bits")
 
@@ -124,11 +125,11 @@ def cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     keys = written(both.groupBy("h1", "h2").agg(F.max("in_list").alias("in_list")), "keys")
     include, exclude = (keys.where(F.col("in_list") == flag).select("h1", "h2") for flag in (1, 0))
     levels: list[Level] = []
-    n = include.count()
+    n, others = include.count(), exclude.count()
     while n:
-        levels.append(made_level(include, n, len(levels)))
+        levels.append(made_level(include, n, others, len(levels)))
         wrong = written(held_by(exclude, levels[-1]), "mistakes")
-        include, exclude, n = wrong, include, wrong.count()
+        include, exclude, n, others = wrong, include, wrong.count(), n
     return Cascade(levels)
 
 
@@ -178,6 +179,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: list[
         fits = cascade(universe("probes"), listed(list(keys)))
         blocks = cascade(listed(list(keys)), listed([k for k, v in keys.items() if v == "block"]))
         hosts = cascade(universe("above"), listed(blocked_hosts))
+        if fits.bits + blocks.bits + hosts.bits > BROADCAST_BITS:
+            raise TooManyKeys("the cascades together are too large")
     except TooManyKeys:
         return joined(probed, keys, blocked_hosts, id_col)
     shared = spark.sparkContext.broadcast((fits, blocks, hosts))

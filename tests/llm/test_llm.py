@@ -444,6 +444,34 @@ def test_language_on_held_out_documents(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_profiles_by_brute_force():
+    def vector(text):
+        out, letters = np.zeros(language.DIMENSIONS), [c.lower() if c.isalpha() else " " for c in f" {text} "]
+        plain = [c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " "]
+        for i in range(len(plain) - language.GRAM + 1):
+            v = np.ones(language.DIMENSIONS)
+            for k in range(language.GRAM):
+                v = v * np.roll(language.letter(ord(plain[i + k])), language.GRAM - 1 - k)
+            out += v
+        return out / np.linalg.norm(out)
+
+    texts_ = ["Das Haus steht, am   Weg!", "été à l'école 12 ans", "z"]
+    assert np.allclose(language.profiles(texts_), [vector(t) for t in texts_], atol=1e-5)
+    assert not language.profiles(["", None, "12 !"]).any()
+
+
+def test_language_column_of_too_many_values_raises(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    d = docs(spark, [(i, PROSE, f"l{i}", "a") for i in range(5)])
+    with pytest.raises(ValueError, match="more than 3"):
+        language.train(d, "text", "lang", F.lit(True))
+    assert len(language.train(d.where("doc_id < 3"), "text", "lang", F.lit(True)).langs) == 3
+
+
+def test_first_level_grows_with_the_universe():
+    assert urls.Level.sized(1000, 10**9, 0).hashed == 20 and urls.Level.sized(1000, 1000, 1).hashed == 8
+
+
 def test_toxicity_on_held_out_documents(spark):
     d, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     model = toxicity.train(d, labels, crc_mod("doc_id", 5) != 0)
