@@ -97,6 +97,17 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / both)
 
 
+def token_hashes(a: Column) -> Column:
+    """The set of a normalised text's words as 64-bit hashes, to compare many texts with."""
+    return F.array_distinct(F.transform(F.filter(F.split(a, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two sets; 0 if either is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both / (F.size(x) + F.size(y) - both))
+
+
 def containment(a: Column, b: Column) -> Column:
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     inside = (short >= 4) & (F.contains(a, b) | F.contains(b, a))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import values
-from tessera.operators import checks, labelled, match, metrics, rank, support, taxonomy
+from tessera.operators import checks, collect, labelled, match, metrics, rank, support, taxonomy
 from tessera.plans.queries import ORDER_ROWS, TREE, order_rows, query, t, tree
 from tessera.streaming import state
 
@@ -211,3 +211,14 @@ m AS (SELECT count(*) FILTER (nth > 1) AS within, count(*) FILTER (nth = 1) AS a
 SELECT outputs, issues, joined, fallbacks, earlier, within, accepted, others FROM n, m, e""")
 def c9b(spark, sf_dir):
     return labelled.validated(*rounds(spark, sf_dir), tree(spark, sf_dir)).summary
+
+
+@query("c2_c4_rescue_tiers")
+def c2(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select(F.col("o_orderpriority").alias("genre"), (k % 3 + 1).cast("int").alias("tier"), (F.col("o_custkey") % 97).alias("artist"), F.col("o_custkey").alias("key"), k.alias("seq")).groupBy("genre", "tier", "artist", "key").agg(F.min("seq").alias("seq"))
+    needed = rows.select("genre").distinct().withColumns({"needed": F.lit(120), "place": F.col("genre")})
+    c = t(spark, sf_dir, "customer")
+    known = c.where("c_acctbal > 9000").select((F.col("c_custkey") % 97).alias("artist"))
+    return collect.rescued(rows, c.where("c_acctbal < 0").select(F.col("c_custkey").alias("key")), "genre", "key", "artist", known, [F.col("seq"), F.col("key")], needed, 3).select("genre", "tier", "artist", "key", "evidence")

@@ -611,9 +611,18 @@ def n5(spark, sf_dir):
 WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace({X.strip_accents_sql('text')}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) END AS similarity FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
 def x2(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("a"))
+    # Each text is taken apart once; sets of hashes travel, not texts.
+    d = written(t(spark, sf_dir, "documents").select("doc_id", X.token_hashes(X.normalize(F.col("text"))).alias("a")), "tokens")
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return rounded(d.join(n, "doc_id").select("doc_id", X.token_similarity(F.col("a"), F.col("b")).alias("similarity")), "similarity")
+    return rounded(d.join(n, "doc_id").select("doc_id", X.set_similarity(F.col("a"), F.col("b")).alias("similarity")), "similarity")
+
+
+@query("x2_title_similarity", """
+WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM w""")
+def x2b(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select("p_partkey", X.normalize(F.col("p_name")).alias("a"), X.normalize(F.col("p_type")).alias("b"))
+    return rounded(p.select("p_partkey", X.token_similarity(F.col("a"), F.col("b")).alias("similarity")), "similarity")
 
 
 @query("x1_x3_similarity")

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.storage import exists, written
+
 DIALECTS = ("strict", "strict_optional", "skip_non_objects", "tolerant_last_line")
 
 
@@ -17,16 +19,13 @@ class BadLine(ValueError):
     """A line that the dialect doesn't allow, with its number."""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, dialect: str = "strict") -> DataFrame:
-    """Rows of a JSON-lines file with `seq`, the line's number from 1.
+    """Rows of JSON-lines files with `seq`, the line's number in its file from 1.
 
     strict: any line that isn't an object raises; strict_optional: so, but a missing file is empty; skip_non_objects: only
-    lines that aren't JSON raise; tolerant_last_line: objects count, and only the last line may be cut off.
+    lines that aren't JSON raise; tolerant_last_line: objects count, and only a file's last line may be cut off.
+
+    A large file is read in parts by many tasks: a line's number is its place in the part and the lines of the parts before.
     """
     if dialect not in DIALECTS:
         raise ValueError(dialect)
@@ -34,29 +33,41 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, diale
     fields = T.StructType([*schema.fields, T.StructField("seq", T.LongType())])
     if dialect == "strict_optional" and not exists(spark, path):
         return spark.createDataFrame([], fields)
-    # One file's lines in order: a whole file is one row, its lines exploded with their places.
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    lines = lines.select((F.col("at") + 1).cast("long").alias("seq"), "line").where(F.trim("line") != "")
-    kind = F.expr("schema_of_variant(try_parse_json(line))")
-    lines = lines.withColumn("kind", kind)
+    read = spark.read.option("lineSep", "\n").text(path)
+    read = written(read.select(F.regexp_replace("value", r"\r\z", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")), "lines")
+    parts = read.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = read.join(parts.withColumn("before", before), ["file", "part"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("seq"), "line").where(F.trim("line") != "")
+    lines = written(lines.withColumn("kind", F.expr("schema_of_variant(try_parse_json(line))")), "lines")
     is_object = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
-    bad = {"strict": ~is_object, "strict_optional": ~is_object, "skip_non_objects": F.col("kind").isNull(), "tolerant_last_line": F.col("kind").isNull()}[dialect]
-    wrong = [r.seq for r in lines.where(bad).select("seq").orderBy("seq").limit(5).collect()]
-    last = lines.agg(F.max("seq")).first()[0]
-    if wrong and not (dialect == "tolerant_last_line" and wrong == [last]):
-        raise BadLine(f"{path}: line {wrong[0]}")
+    bad = lines.where(F.col("kind").isNull() if dialect in ("skip_non_objects", "tolerant_last_line") else ~is_object)
+    if dialect == "tolerant_last_line":
+        bad = bad.join(lines.groupBy("file").agg(F.max("seq").alias("last")), "file").where("seq < last")
+    if wrong := bad.orderBy("file", "seq").limit(1).collect():
+        raise BadLine(f"{wrong[0].file}: line {wrong[0].seq}")
     return lines.where(is_object).select(F.from_json("line", schema).alias("row"), "seq").select("row.*", "seq")
 
 
-def taxonomy(spark: SparkSession, text: str) -> DataFrame:
-    """(id, label, parent, aliases, position) of a YAML taxonomy's nodes."""
+def taxonomy(spark: SparkSession, text: str, loose: bool = False) -> DataFrame:
+    """(id, label, parent, aliases, position) of a YAML taxonomy's nodes; loose: nodes without a text as id are left out, and the last node of an id counts, at the first one's place."""
     import yaml
 
     nodes = yaml.safe_load(text).get("nodes") or []
+    if loose:
+        kept: dict[str, dict] = {}
+        for n in nodes:
+            if isinstance(n, dict) and isinstance(n.get("id"), str):
+                kept[n["id"]] = n
+        nodes = list(kept.values())
     rows = [(n.get("id"), n.get("label"), n.get("parent"), [str(a) for a in n.get("aliases") or []], i) for i, n in enumerate(nodes)]
     return spark.createDataFrame(rows, "id string, label string, parent string, aliases array<string>, position int")
 
 
+def taxonomy_file(spark: SparkSession, path: str, loose: bool = False) -> DataFrame:
+    """The same from a file in any store that Spark reads; a taxonomy is a small file."""
+    return taxonomy(spark, spark.read.text(path, wholetext=True).first()[0], loose)
+
+
 def performance(spark: SparkSession, path: str) -> DataFrame:
     """(id, f1, support) of a CSV; an unreadable f1 is NaN, an unreadable support 0; rows without an id are left out."""
     rows = spark.read.option("header", True).csv(path)
@@ -65,7 +76,7 @@ def performance(spark: SparkSession, path: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, field: str, value: str) -> DataFrame:
     """(key, value fields) of an object-valued field of a JSON document."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json("value", f"{field} map<string, struct<{value}>>")[field]).alias("key", "v")).select("key", "v.*")
 
 

@@ -278,3 +278,59 @@ def test_follow_appends_new_keys_once(spark, tmp_path):
         q.processAllAvailable()
         state.stop(q)
         assert sorted(r.id for r in spark.read.parquet(log).collect()) == list(range(n))
+
+
+def test_rescue_in_tiers_equals_a_loop(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(g, tier, f"a{r.randrange(6)}", r.randrange(100)) for g in ("g1", "g2", "g3") for tier in (1, 2, 3) for _ in range(14)]
+    rows = [(g, tier, a, f"{a}-{s % 9}", s) for g, tier, a, s in rows]
+    rows = list({(x[0], x[1], x[3]): x for x in rows}.values())
+    needed, most, gone, old = [("g1", 7, 0), ("g2", 12, 1), ("g3", 9, 2)], 3, {"a1-1", "a2-2"}, {"a0", "a3"}
+    taken, want = set(gone), []
+    for genre, quota, _ in needed:
+        mine, count = [], {}
+        for tier in (1, 2, 3):
+            left = sorted((x for x in rows if x[:2] == (genre, tier)), key=lambda x: (x[2] in old, x[4], x[3]))
+            while True:  # a pass takes one row of each artist
+                passed, gained = set(), False
+                for x in left:
+                    if len(mine) < quota and x[3] not in taken and x[2] not in passed and count.get(x[2], 0) < most and x[3] not in {m[3] for m in mine}:
+                        passed.add(x[2])
+                        count[x[2]] = count.get(x[2], 0) + 1
+                        mine.append(x)
+                        gained = True
+                if not gained:
+                    break
+        taken |= {x[3] for x in mine}
+        want += [(x[0], x[1], x[3]) for x in mine]
+    d = spark.createDataFrame(rows, "genre string, tier int, artist string, key string, s int")
+    got = collect.rescued(d, spark.createDataFrame([(k,) for k in gone], "key string"), "genre", "key", "artist", spark.createDataFrame([(a,) for a in old], "artist string"), [F.col("s"), F.col("key")], spark.createDataFrame(needed, "genre string, needed int, place int"), most)
+    assert sorted((x.genre, x.tier, x.key) for x in got.collect()) == sorted(want)
+    assert {(x.tier, x.evidence.strength) for x in got.collect()} <= {(1, "medium"), (2, "weak"), (3, "weak")}
+
+
+def test_large_json_lines_are_numbered_across_parts(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"a": {i}}}\r\n' if i % 7 else "\n" for i in range(1, 2001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.json_lines(spark, str(tmp_path / "*.jsonl"), "a long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 2 * sum(i % 7 > 0 for i in range(1, 2001)) and all(r.a == r.seq for r in rows)
+
+
+def test_loose_taxonomies_keep_the_last_of_an_id(spark, tmp_path):
+    path = tmp_path / "t.yaml"
+    path.write_text("nodes:\n- {id: a, label: A}\n- {id: b, label: B, parent: a}\n- {id: a, label: C}\n- {label: D}\n- word\n")
+    got = files.taxonomy_file(spark, str(path), loose=True).orderBy("position").collect()
+    assert [(r.id, r.label, r.position) for r in got] == [("a", "C", 0), ("b", "B", 1)]
+
+
+def test_maps_of_a_document_of_several_lines(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text('{\n "classes": {\n  "a": {"n": 1},\n  "b": {"n": 2}\n }\n}\n')
+    assert sorted((r.key, r.n) for r in files.json_map(spark, str(path), "classes", "n: long").collect()) == [("a", 1), ("b", 2)]
