@@ -87,9 +87,11 @@ def evidence_profile(strengths: Column) -> Column:
     return F.when(has("strong"), "has_strong").when(has("medium"), "medium_only").otherwise("weak_only")
 
 
-def class_weights(rows: DataFrame, label: str, how: str = "sqrt") -> DataFrame:
-    """(label, n, weight): 1, n / (k c) or its square root, divided by the mean over classes."""
+def class_weights(rows: DataFrame, label: str, how: str = "sqrt", classes: DataFrame | None = None) -> DataFrame:
+    """(label, n, weight): 1, n / (k c) or its square root, divided by the mean over classes; with `classes` (label), one without rows raises."""
     counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if classes is not None and (empty := [r[0] for r in classes.select(label).join(counted, label, "left_anti").orderBy(label).limit(5).collect()]):
+        raise ValueError(f"classes without rows: {empty}")
     every = Window.partitionBy()
     balanced = F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))
     raw = {"none": F.lit(1.0), "balanced": balanced, "sqrt": F.sqrt(balanced)}[how]

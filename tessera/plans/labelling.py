@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import values
 from tessera.operators import checks, collect, labelled, match, metrics, rank, support, taxonomy
-from tessera.plans.queries import ORDER_ROWS, TREE, order_rows, query, t, tree
+from tessera.plans.queries import ORDER_ROWS, SCORED, TREE, order_rows, query, rounded, said, t, tree
+from tessera.sources import files
 from tessera.streaming import state
 
 LOOSE = """CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN '["b", "", "a", {"id": "c"}, {"id": 3}, 7, "b"]' WHEN 1 THEN '" one "' WHEN 2 THEN '{"id": "x"}' WHEN 3 THEN 'not json' END"""
@@ -222,3 +223,38 @@ def c2(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
     known = c.where("c_acctbal > 9000").select((F.col("c_custkey") % 97).alias("artist"))
     return collect.rescued(rows, c.where("c_acctbal < 0").select(F.col("c_custkey").alias("key")), "genre", "key", "artist", known, [F.col("seq"), F.col("key")], needed, 3).select("genre", "tier", "artist", "key", "evidence")
+
+
+@query("s10_by_extension", """
+WITH f AS (SELECT user_id, 'f' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS stem, CAST(event_id % 4 AS INTEGER) AS k FROM events), p AS (SELECT user_id, stem || ['.opus', '.MP3', '.m4a', '.txt'][k + 1] AS path, [2, 1, 3, 9][k + 1] AS rank FROM f)
+SELECT user_id, path FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank, path) = 1""")
+def s10(spark, sf_dir):
+    extension = F.element_at(F.array(*[F.lit(x) for x in (".opus", ".MP3", ".m4a", ".txt")]), (F.col("event_id") % 4 + 1).cast("int"))
+    listing = t(spark, sf_dir, "events").select("user_id", F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 9, "0"), extension).alias("path"))
+    return files.first_by_extension(listing, "user_id", "path", [".mp3", ".opus", ".m4a"])
+
+
+PATHS = ("pooled", "sequence")
+
+
+@query("s12_embedding_path", """
+SELECT vec_id, """ + ", ".join(f"CASE CAST(vec_id % 5 AS INTEGER) WHEN 0 THEN 'd' || vec_id WHEN 1 THEN 'e' || vec_id WHEN 2 THEN '{p[0]}' || vec_id WHEN 3 THEN 'l' || vec_id ELSE 'embeddings/muq/v' || vec_id || '.npy' END AS {p}" for p in PATHS) + " FROM embeddings")
+def s12(spark, sf_dir):
+    k, name = F.col("vec_id") % 5, lambda x: F.concat(F.lit(x), "vec_id")
+    paths = lambda n, x: F.when(k == n, F.create_map(F.lit("muq"), name(x)))
+    row = F.struct(F.when(k == 0, name("d")).alias("direct"), paths(1, "e").alias("embedding_paths"), paths(2, "p").alias("pooled_paths"), paths(2, "s").alias("sequence_paths"), F.when(k == 3, name("l")).alias("legacy_path"), F.lit("muq").alias("encoder"), name("v").alias("video_id"))
+    return t(spark, sf_dir, "embeddings").select("vec_id", row.alias("row")).select("vec_id", *[files.embedding_path("row", p).alias(p) for p in PATHS])
+
+
+@query("a27_weight_modes", """
+WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT label, sum(n) OVER () / (count(*) OVER () * n) AS raw FROM n)
+SELECT label, 1.0::DOUBLE AS plain, round(raw / avg(raw) OVER (), 6) AS balanced FROM r""")
+def a27(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select("label")
+    modes = [support.class_weights(e, "label", how, e.distinct()).select("label", F.col("weight").alias(name)) for how, name in (("none", "plain"), ("balanced", "balanced"))]
+    return rounded(modes[0].join(modes[1], "label"), "balanced")
+
+
+@query("z9_subset_accuracy", f"WITH s AS (SELECT lang, truth = CAST(score >= 0.5 AS INTEGER) AS hit FROM ({SCORED})) SELECT round(avg(CAST(every AS INTEGER)), 6) AS subset_accuracy FROM (SELECT bool_and(hit) AS every FROM s GROUP BY lang)")
+def z9(spark, sf_dir):
+    return rounded(metrics.subset_accuracy(said(spark, sf_dir), "lang", "truth", "said"), "subset_accuracy")

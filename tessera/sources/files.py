@@ -107,10 +107,10 @@ def first_by_extension(listing: DataFrame, key: str, path: str, order: list[str]
     return listing.groupBy(key).agg(F.min_by(path, F.struct(F.when(rank == 0, 1_000_000).otherwise(rank), F.col(path))).alias(path))
 
 
-def embedding_path(row: str = "row") -> Column:
-    """An embedding's place: given directly, by encoder, by representation, in the old field, else by default."""
+def embedding_path(row: str = "row", representation: str = "pooled") -> Column:
+    """An embedding's place: given directly, by encoder, by encoder and representation (pooled or sequence), in the old field, else by default."""
     r = F.col(row)
-    return F.coalesce(r["direct"], r["embedding_paths"][r["encoder"]], r["pooled_paths"][r["encoder"]], r["legacy_path"], F.concat(F.lit("embeddings/"), r["encoder"], F.lit("/"), r["video_id"], F.lit(".npy")))
+    return F.coalesce(r["direct"], r["embedding_paths"][r["encoder"]], r[f"{representation}_paths"][r["encoder"]], r["legacy_path"], F.concat(F.lit("embeddings/"), r["encoder"], F.lit("/"), r["video_id"], F.lit(".npy")))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

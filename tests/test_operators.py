@@ -334,3 +334,24 @@ def test_maps_of_a_document_of_several_lines(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text('{\n "classes": {\n  "a": {"n": 1},\n  "b": {"n": 2}\n }\n}\n')
     assert sorted((r.key, r.n) for r in files.json_map(spark, str(path), "classes", "n: long").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_sinks_publish_whole_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, s string")
+    files.write_json(rows, str(tmp_path / "j"))
+    files.write_json(rows, str(tmp_path / "j"))
+    files.write_csv(rows, str(tmp_path / "c"))
+    files.write_csv(rows.limit(0), str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    assert {(r.n, r.s) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {("1", "a,b"), ("2", None)}
+    assert spark.read.option("header", True).csv(str(tmp_path / "e")).count() == 0
+
+
+def test_pauses_double_up_to_a_minute():
+    assert [state.backoff(i) for i in (0, 1, 5, 6, 9)] == [1, 2, 32, 60, 60] and state.backoff(1, 0.5) == 2.5
+
+
+def test_a_class_without_rows_raises(spark):
+    rows = spark.createDataFrame([("a",)], "label string")
+    with pytest.raises(ValueError, match="b"):
+        support.class_weights(rows, "label", classes=spark.createDataFrame([("a",), ("b",)], "label string"))
