@@ -53,7 +53,7 @@ ROWS, KNOWN = 128, 300_000
 _LOOKS = str.maketrans("013457@$", "oieastas")  # fixed: which letters these are drawn for
 _LOOK = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKS = ".,;:!?\"'()[]{}-"
 
 
 def plain(token: str) -> str:
@@ -61,6 +61,9 @@ def plain(token: str) -> str:
     low = token.lower()
     if low.isalpha():
         return low
+    inner = low.strip(_MARKS)
+    if inner.isalpha():
+        return inner
     return _NOT_LETTER.sub("", _LOOK.sub(lambda m: m[0].translate(_LOOKS), low))
 
 
@@ -201,6 +204,39 @@ class Model:
             out[at] = (self.weights[keys] @ weight) / norms(keys, weight) + self.bias
         return out
 
+    def bounds(self, words: list[str]) -> np.ndarray:
+        """What the words' values can't exceed, without their norms: a norm lies between those of all-different and all-equal subsequences."""
+        out = np.zeros(len(words))
+        for at, lot in by_length(words):
+            keys, weight = subsequences(lot)
+            product = self.weights[keys] @ weight
+            out[at] = product / np.where(product > 0, np.sqrt((weight**2).sum()), weight.sum()) + self.bias + 1e-9
+        return out
+
+    def highest(self, bags: list[set[str]], bound: dict[str, float], value: dict[str, float]) -> np.ndarray:
+        """The highest value of each bag's words, -1 without any.  Only words whose bound lies above that of the best-looking word need a norm."""
+        new = sorted(set().union(*bags).difference(bound))
+        if len(bound) + len(new) > KNOWN:
+            bound.clear()
+            value.clear()
+            new = sorted(set().union(*bags))
+        bound.update(zip(new, self.bounds(new).tolist() if new else [], strict=True))
+
+        def known(words: set[str]) -> None:
+            missing = sorted(w for w in words if w not in value)
+            value.update(zip(missing, self.values(missing).tolist() if missing else [], strict=True))
+
+        lists = [list(bag) for bag in bags]
+        limits = [[bound[w] for w in words] for words in lists]
+        top = [words[limit.index(max(limit))] if words else None for words, limit in zip(lists, limits, strict=True)]
+        known({w for w in top if w is not None})
+        able = []
+        for words, limit, w in zip(lists, limits, top, strict=True):
+            least = value[w] if words else 0.0
+            able.append([x for x, most in zip(words, limit, strict=True) if most >= least])
+        known(set().union(*able))
+        return np.array([max([value[x] for x in words], default=-1.0) for words in able])
+
     def scores(self, highest: np.ndarray) -> np.ndarray:
         if self.empty:
             return np.zeros(len(highest))
@@ -327,14 +363,10 @@ def classify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     shared, text_at = df.sparkSession.sparkContext.broadcast(model), len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, value, known = shared.value, {}, Plain()
+        model, bound, value, known = shared.value, {}, {}, Plain()
         for batch in lots(batches, text_at, ROWS):
             bags = [strings(t or "", known) for t in batch.column(text_at).to_pylist()]
-            words = [] if model.empty else sorted(set().union(*bags).difference(value))
-            if len(value) + len(words) > KNOWN:
-                value, words = {}, sorted(set().union(*bags))
-            value.update(zip(words, model.values(words).tolist() if words else [], strict=True))
-            score = model.scores(np.array([-1.0 if model.empty else max([value[w] for w in bag], default=-1.0) for bag in bags]))
+            score = model.scores(np.full(len(bags), -1.0) if model.empty else model.highest(bags, bound, value))
             said = (score >= 0.5).astype(np.int32)
             if only is None:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(said)], schema.names)

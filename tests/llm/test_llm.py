@@ -481,6 +481,39 @@ def test_toxicity_on_held_out_documents(spark):
         assert model.values(sorted(toxicity.strings(word)))[0] > model.values(["bridge"])[0] + 0.5
 
 
+def test_highest_values_need_no_value_of_every_word():
+    r = random.Random(7)
+    for shift in (0.0, -3.0, 3.0):
+        model = toxicity.Model((np.random.default_rng(1).normal(size=toxicity.LETTERS**3) + shift).astype(np.float32), -0.2, 1.0, 0.0)
+        bags = [{"".join(r.choice("abcaab") for _ in range(r.randrange(3, 12))) for _ in range(r.randrange(40))} for _ in range(60)] + [set()]
+        bound, value = {}, {}
+        for part in (bags[:20], bags[20:]):
+            got = model.highest(part, bound, value)
+            want = [max(model.values(sorted(b)), default=-1.0) if b else -1.0 for b in part]
+            assert np.allclose(got, want, atol=1e-9)
+
+
+def test_machine_by_brute_force():
+    """The machine's weights make its own objective, squared hinge with ridge, no larger than nearby ones do."""
+    g = np.random.default_rng(5)
+    x, y = g.normal(size=(80, 4)).astype(np.float32), np.where(g.random(80) < 0.4, 1.0, -1.0)
+    weight = g.random(80) + 0.1
+    w = toxicity.machine(x, np.arange(80), y, weight)
+
+    def cost(v):
+        gap = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        return (weight * gap**2).sum() + toxicity.PENALTY * (v[:-1] ** 2).sum() + 1e-6 * v[-1] ** 2
+
+    best = cost(w)
+    for _ in range(300):
+        assert cost(w + g.normal(size=5) * 10.0 ** g.integers(-4, 0)) >= best - 1e-9
+
+
+def test_plain_letters():
+    for token, want in {"Word.": "word", "(word)": "word", "w0rd!": "word", "$ign": "ign", "a1b2": "aib", "don't": "dont", "x-ray": "xray", "--": "", "42": "", "É,": "é"}.items():
+        assert toxicity.plain(token) == want
+
+
 def test_kernel_by_brute_force():
     def features(w):
         letters, out = toxicity.classes([w])[0].tolist(), {}
