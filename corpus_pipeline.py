@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, pieces, secrets, toxicity
-from tessera.llm.common import crc_mod, table, written, written_bytes
+from tessera.llm.common import crc_mod, small_batches, table, written, written_bytes
 from tessera.llm.queries import model_path
 
 #: The near-duplicate stage: words of a shingle, and the least similarity in hundredths.
@@ -57,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by the secret's kind."""
+    small_batches(spark)
     return secrets.redact(docs, "text", "n_chars")
 
 
@@ -67,6 +68,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of each document, in the order of the files' names and of the rows in them."""
+    small_batches(spark)
     ordered = mixing.with_file_place(docs, _ID).orderBy(_ID)
     return pieces.encode(ordered, model_path()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\r\x0b\x0c"
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: of long texts those are hundreds of MB on either side.
+ARROW_ROWS = 1000
 #: Bytes of text that are worked on together, but for single texts that are longer.
 LOT_BYTES = 1 << 20
 
@@ -28,7 +30,15 @@ _made: list[tuple[weakref.ref, str]] = []
 Batches = Iterator[pa.RecordBatch]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what is sent to Python workers at once, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The folder goes when the session ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((weakref.ref(spark), path))
