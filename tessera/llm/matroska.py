@@ -274,7 +274,7 @@ def laced(frames: list[bytes], kind: int) -> bytes:
     head = b"" if kind == NO_LACING else bytes([len(frames) - 1])
     if kind == XIPH:
         head += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
-    elif kind == EBML_LACING:
+    elif kind == EBML_LACING and len(sizes) > 1:  # the last size is never written, not even a block's only one
         head += encoded_size(sizes[0])
         for one, two in zip(sizes, sizes[1:-1], strict=False):
             length = next(n for n in range(1, 9) if abs(two - one) < (1 << 7 * n - 1) - 1)

@@ -68,6 +68,18 @@ def test_matroska_round_trip(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
 
 
+def test_matroska_every_number_of_frames():
+    # 18 frames end in a laced block of one frame, as do 43 and 257.
+    source = bytes(range(251)) * 1100
+    for n in [k * matroska.FRAME + more for k in range(1, 262) for more in (0, 64)]:
+        data = matroska.mux(source[:n])
+        media = matroska.parse(data)
+        assert media.error == "" and b"".join(data[p.offset : p.offset + p.size] for p in media.packets) == source[:n], n
+    for kind in (matroska.XIPH, matroska.FIXED, matroska.EBML_LACING):
+        block = matroska.laced([b"abc"], kind)
+        assert matroska.lace_sizes(block, 0, len(block), kind) == ([3], 1)
+
+
 def test_matroska_foreign_layouts():
     e = matroska.element
     frames = [b"a" * 300, b"b" * 2, b"c" * 700]
