@@ -52,7 +52,7 @@ def test_query_without_sql_runs(spark, name):
 CLOSE = [(1, [0.0, 0.0, 0.0], 0), (2, [9.0, 9.0, 9.0], 0), (3, [1.0, 0.0, 0.0], 1), (4, [0.0, 1 - 2**-22, 0.0], 2), (5, [0.0, 0.0, 3.0], 3), (6, None, 3), (7, [], 3)]
 
 
-@pytest.mark.parametrize("name", ["n1_n5_centroid_predict", "a18_confusion", "a19_per_class", "w12_top_confusions"])
+@pytest.mark.parametrize("name", ["n1_n5_centroid_predict", "a18_confusion", "a19_per_class", "w12_top_confusions", "w13_row_normalized"])
 def test_close_centroids_equal_sql(spark, tmp_path, name):
     spark.createDataFrame(CLOSE, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
