@@ -80,3 +80,12 @@ AGAIN = [(1, [0.0, 0.0], 0), (2, [4.0, 0.0], 1), (3, [0.0, 4.0], 2), (4, [3.0, 0
 @pytest.mark.parametrize("name", ["n1_n5_centroid_predict", "a18_confusion"])
 def test_vectors_of_one_id_equal_sql(spark, tmp_path, name):
     equal_sql(spark, tmp_path, name, AGAIN)
+
+
+#: 41 of the 640 rows of label 0 are nearest to its mean, the others to label 1's: a share that is just below the decimal text 0.0640625. Label 2 has no vector.
+HALVES = [(i, [float(i >= 41)], 0) for i in range(640)] + [(640, [1.0], 1), (641, None, 2)]
+
+
+@pytest.mark.parametrize("name", ["a19_per_class"])
+def test_halves_equal_sql(spark, tmp_path, name):
+    equal_sql(spark, tmp_path, name, HALVES)
