@@ -15,9 +15,9 @@ def confusion(rows: DataFrame, true: str, predicted: str, classes: DataFrame) ->
     return dense.join(counted, ["true_class", "predicted_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b, or 0 where b is 0."""
-    return F.when(b != 0, a / b).otherwise(F.lit(0.0))
+def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
+    """a / b, or `empty` where b is 0."""
+    return F.when(b != 0, a / b).otherwise(F.lit(empty))
 
 
 def f1(precision: Column, recall: Column) -> Column:
@@ -50,12 +50,15 @@ def row_normalized(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy("true_class"))))
 
 
-def top_confusions(matrix: DataFrame, k: int) -> DataFrame:
-    """The k classes each class is most taken for, zeros included, equal ones by class."""
-    support = F.sum("n").over(Window.partitionBy("true_class"))
-    shared = matrix.withColumn("support", support).where("true_class <> predicted_class")
-    place = F.row_number().over(Window.partitionBy("true_class").orderBy(F.desc("n"), "predicted_class"))
-    return shared.withColumn("rank", place).where(F.col("rank") <= k).withColumn("fraction", ratio(F.col("n"), F.col("support")))
+def top_confusions(matrix: DataFrame, k: int, itself: bool = False, empty: float = 0.0) -> DataFrame:
+    """The k classes each class is most taken for, zeros included, equal ones by class; `empty` is the fraction of a class without rows.
+
+    With `itself` a class comes after all others that it is taken for, and pairs with the class null come last.
+    """
+    support, same = F.sum("n").over(Window.partitionBy("true_class")), F.col("true_class") == F.col("predicted_class")
+    shared = matrix.withColumn("support", support).where(F.lit(True) if itself else ~same)
+    place = F.row_number().over(Window.partitionBy("true_class").orderBy(same.asc_nulls_last(), F.desc("n"), F.col("predicted_class").asc_nulls_last()))
+    return shared.withColumn("rank", place).where(F.col("rank") <= k).withColumn("fraction", ratio(F.col("n"), F.col("support"), empty))
 
 
 def confidence(rows: DataFrame, probability: str, correct: Column) -> DataFrame:
