@@ -46,8 +46,9 @@ def overall(metrics: DataFrame, other: Column | None = None) -> DataFrame:
     )
 
 
-def row_normalized(matrix: DataFrame) -> DataFrame:
-    return matrix.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy("true_class"))))
+def row_normalized(matrix: DataFrame, empty: float = 0.0) -> DataFrame:
+    """Adds each class's shares; `empty` is the share where a class has no rows."""
+    return matrix.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy("true_class")), empty))
 
 
 def top_confusions(matrix: DataFrame, k: int, itself: bool = False, empty: float = 0.0) -> DataFrame:

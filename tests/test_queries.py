@@ -86,6 +86,6 @@ def test_vectors_of_one_id_equal_sql(spark, tmp_path, name):
 HALVES = [(i, [float(i >= 41)], 0) for i in range(640)] + [(640, [1.0], 1), (641, None, 2)]
 
 
-@pytest.mark.parametrize("name", ["a19_per_class", "w12_top_confusions"])
+@pytest.mark.parametrize("name", ["a19_per_class", "w12_top_confusions", "w13_row_normalized"])
 def test_halves_equal_sql(spark, tmp_path, name):
     equal_sql(spark, tmp_path, name, HALVES)
